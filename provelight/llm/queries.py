@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provelight.llm.dedup import PUNCTUATION, SPACE, dress_copies
+from provelight.llm.packing import pack
+from provelight.llm.percentiles import parts, percentiles
+from provelight.llm.spans import shared_share, shared_spans
 from provelight.llm.terms import term_frequencies
+from provelight.llm.tokens import encode_corpus, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +44,57 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("keep_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_copies": p3_copies}
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of both times per backend, over parts made file by file."""
+    runs = parts(_read(spark, sf_dir, "results"), ["backend"], ["wall_time_s", "compile_time_s"])
+    found = percentiles(runs, QUANTILES)
+    return found.select(F.get_json_object("group", "$.backend").alias("backend"), "metric", "n", "quantile", "value")
+
+
+def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from parts of separate days, made apart and then united."""
+    results = _read(spark, sf_dir, "results").withColumn("odd", F.dayofyear("ingested_at") % 2)
+    made = [parts(results.where(F.col("odd") == k), ["backend"], ["wall_time_s", "compile_time_s"]) for k in (0, 1)]
+    found = percentiles(made[0].unionByName(made[1]), (0.5,))
+    return found.select(F.get_json_object("group", "$.backend").alias("backend"), "metric", "n", "quantile", "value")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of a document beyond the capacity, with its container."""
+    sizes = token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of text that stand in another document too."""
+    return shared_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands elsewhere."""
+    return shared_share(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_copies": p3_copies,
+    "p6_percentiles": p6_percentiles,
+    "p6_combined": p6_combined,
+    "p7_ids": p7_ids,
+    "p8_packed": p8_packed,
+    "p9_found": p9_found,
+    "p9_share": p9_share,
+}
 
 
 def queries() -> dict:
@@ -64,8 +118,17 @@ g as (select *, min(record_id) over (partition by task_id, model, b, m) keep_id
 """
 
 
+def _percentiles_sql(quantiles: tuple) -> str:
+    rows = ", ".join(f"({q}::double)" for q in quantiles)
+    return f"""with v as (select backend, 'wall_time_s' metric, wall_time_s x from results union all select backend, 'compile_time_s', compile_time_s from results),
+s as (select backend, metric, list_sort(list(x)) xs, count(*) n from v where x is not null and not isnan(x) and x >= 0 group by backend, metric)
+select backend, metric, n, quantile, xs[greatest(1, ceil(round(quantile * n, 9)))::int] "value" from s, (values {rows}) q(quantile)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_percentiles": _percentiles_sql(QUANTILES),
+        "p6_combined": _percentiles_sql((0.5,)),
         "p2_found": _TERMS + "select field, term, mark from m where mark is not null",
         "p2_terms": _TERMS + "select field, term, occurrences, records, mark from m",
         "p3_found": _COPIES + "select keep_id, record_id copy_id from g where record_id <> keep_id",
