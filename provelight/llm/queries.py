@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provelight.llm.cutoff import cut_rates, cut_texts
 from provelight.llm.dedup import PUNCTUATION, SPACE, dress_copies
 from provelight.llm.packing import pack
 from provelight.llm.percentiles import parts, percentiles
@@ -44,6 +45,26 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("keep_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = _read(spark, sf_dir, "attempts").select(
+        F.lit("attempts").alias("source_table"), "record_id", F.lit(-1).alias("position"), F.col("model").alias("source"), F.col("proof").alias("text")
+    )
+    results = _read(spark, sf_dir, "results").select(
+        F.lit("results").alias("source_table"), "record_id", F.col("backend").alias("source"), F.posexplode("diagnostics").alias("position", "d")
+    )
+    return attempts.unionByName(results.select("source_table", "record_id", "position", "source", F.col("d.message").alias("text")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs and messages that lost their end."""
+    return cut_texts(_texts(spark, sf_dir)).select("source_table", "record_id", "position")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each model's proofs and each backend's messages are cut."""
+    return cut_rates(_texts(spark, sf_dir))
+
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -88,6 +109,8 @@ QUERIES = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_percentiles": p6_percentiles,
     "p6_combined": p6_combined,
     "p7_ids": p7_ids,
