@@ -7,9 +7,9 @@ Three kinds of evidence, all counted over all texts:
   is computed with window functions and tested against the hazard of the
   neighbouring lengths; a Benjamini-Hochberg bound keeps the share of false
   discoveries below ``ALPHA``.  Copies of one text count once.  At a significant
-  length incomplete endings are flagged; and if most endings there are
-  incomplete, so are the others as far as they outnumber what the neighbours
-  lead one to expect.
+  length incomplete endings are flagged; and if most texts that reach it end
+  there, most of them incomplete, so are the other texts of that length, where
+  they outnumber what the neighbours lead one to expect twice.
 * **Endings.**  An ending is incomplete if its line, with names and numbers
   masked, nearly always goes on where it occurs (the hazard of a line end at this
   point is tiny), or if the line nearly never is the last one of a text, or if
@@ -38,7 +38,7 @@ GOES_ON = 0.9
 SELDOM_LAST, SEEN = 0.02, 40
 #: A word that ends more than this share of all texts regularly ends texts.
 REGULAR = 0.0005
-#: An incomplete ending in so many of the texts of a length makes the length a limit.
+#: Of the texts that reach a limit so many end there, and so many of these incomplete.
 MOSTLY = 0.5
 
 # Signs of a lost end.
@@ -70,7 +70,7 @@ def _endings(texts: DataFrame) -> DataFrame:
         "*",
         last.alias("shape"),
         F.xxhash64(before).alias("ctx"),
-        F.regexp_extract(F.lower("_t"), "[\\p{L}\\p{N}_]+$", 0).alias("word"),
+        F.regexp_extract(F.lower("_t"), "[\\p{L}\\p{N}_.]+$", 0).alias("word"),
     )
 
 
@@ -132,8 +132,8 @@ def _shape_verdicts(shapes: DataFrame) -> DataFrame:
 
 def _torn_words(ends: DataFrame) -> DataFrame:
     """(source_table, word, fin) of last words that are beginnings of other words."""
-    inside = F.regexp_replace(F.lower("_t"), "[\\p{L}\\p{N}_]+$", "")
-    all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_]+"))).alias("word"))
+    inside = F.regexp_replace(F.lower("_t"), "[\\p{L}\\p{N}_.]+$", "")
+    all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]+"))).alias("word"))
     whole = keep(all_words.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("whole")), "vocabulary")
     last = ends.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("fin"))
     starts = whole.where((F.col("whole") >= KNOWN) & (F.length("word") > 1)).select(
@@ -148,7 +148,7 @@ def _torn_words(ends: DataFrame) -> DataFrame:
 
 
 def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) -> DataFrame:
-    """Significant lengths: (source_table, source, unit, len, n, expected, p).
+    """Significant lengths: (source_table, source, unit, len, n, reach, expected, p).
 
     ``lengths`` has (source_table, source, unit, len, n), n distinct texts.  The
     hazard of a length is tested against the pooled hazard of the lengths up to
@@ -170,7 +170,7 @@ def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) ->
     rank = F.row_number().over(by.orderBy("p"))
     ok = held.withColumn("_ok", F.col("p") <= alpha * rank / m)
     worst = F.max(F.when(F.col("_ok"), F.col("p"))).over(by)
-    return ok.withColumn("_worst", worst).where("p <= _worst").drop("_ok", "_worst", "reach")
+    return ok.withColumn("_worst", worst).where("p <= _worst").drop("_ok", "_worst")
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -209,7 +209,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     lengths = keep(lengths, "lengths")
     found = length_limits(lengths.drop("n_bad")).join(lengths.select("source_table", "source", "unit", "len", "n_bad"), ["source_table", "source", "unit", "len"])
     whole = F.col("n") - F.col("n_bad")
-    limits = found.where((F.col("n_bad") >= MOSTLY * F.col("n")) & (whole >= 2 * F.col("expected")))
+    ends_here = (F.col("n") >= MOSTLY * F.col("reach")) & (F.col("n_bad") >= MOSTLY * F.col("n"))
+    limits = found.where(ends_here & (whole >= 2 * F.col("expected")))
     # Few lengths are limits (a source has one or two), yet nothing here depends on that: the join shuffles if they are many.
     hit = limits.select("source_table", "source", "unit", "len").withColumn("limit", F.lit(True)).distinct()
     for unit in ("chars", "bytes"):
