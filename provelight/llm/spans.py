@@ -278,7 +278,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 240) -> DataF
     """
     plan(length)
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") >= length)
-    grams = _anchor_rows(texts, length)
+    grams = keep(_anchor_rows(texts, length), "anchors")
     candidates = _met(grams, _shared(grams, ["g1", "g2"], "grams"), ["g1", "g2"])
     ranges = candidates.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     windows = keep(_window_rows(texts.join(ranges, "id"), length), "windows")
