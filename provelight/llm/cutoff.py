@@ -46,31 +46,46 @@ SIGNS = [
     "…", "...", "[...]", "[…]", "(...)", "(…)", "<...>", "[truncated]", "(truncated)", "<truncated>",
     "[cut]", "[snip]", "(more)", "[output truncated]", "...(truncated)", "…(truncated)", "[clipped]", "<snip>",
 ]
-_BLANK = "\\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACES = "".join(map(chr, [9, 11, 12, 13, *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+_BLANK = _SPACES + "\n"
+_PUNCTUATION = ".,;:!?'\"()[]{}\u2018\u2019\u201c\u201d`"
 _SIGN = "(?:" + "|".join(
     "".join("\\" + c if c in ".[]()<>" else c for c in s) for s in sorted(SIGNS, key=len, reverse=True)
 ) + ")$"
 
 
 def _shapes(text: Column) -> Column:
-    """The non-blank lines of a text, names and numbers masked, without white space."""
-    low = F.lower(text)
-    named = F.regexp_replace(low, "\\p{L}[\\p{L}\\p{N}_']*(?:[._]+[\\p{L}\\p{N}_]+)+", "q")
-    numbered = F.regexp_replace(named, "(\\p{L}?)\\p{Nd}+", "$10")
-    bare = F.regexp_replace(numbered, f"[{_BLANK}&&[^\\n]]+", "")
-    return F.filter(F.split(bare, "\n"), lambda line: line != "")
+    """The non-blank lines of a lower-case text, names and numbers masked, without white space."""
+    named = F.regexp_replace(text, "\\p{L}[\\p{L}\\p{N}']*+(?:[._]++[\\p{L}\\p{N}_]++)++", "q")
+    bare = F.translate(named, "123456789" + _SPACES, "000000000")
+    return F.filter(F.split(F.regexp_replace(bare, "00++", "0"), "\n"), lambda line: line != "")
 
 
 def _endings(texts: DataFrame) -> DataFrame:
-    trimmed = F.regexp_replace("text", f"[{_BLANK}]+$", "")
-    held = texts.select("*", trimmed.alias("_t")).where("_t <> ''").withColumn("_lines", _shapes(F.col("_t")))
-    last = F.element_at("_lines", -1)
+    """What is known of each text that is not blank: its lines, its last line, and its last word.
+
+    The filter looks at the raw text and the steps below it are separate
+    projections, so each pass over a text is made once.
+    """
+    full = texts.where(F.col("text").rlike(f"[^{_BLANK}]"))
+    low = full.select("*", F.rtrim(F.lower("text"), F.lit(_BLANK)).alias("_t"))
+    held = low.select("*", _shapes(F.col("_t")).alias("_lines"))
     before = F.when(F.size("_lines") > 1, F.element_at("_lines", -2)).otherwise("")
-    return held.where(F.size("_lines") > 0).select(
-        "*",
-        last.alias("shape"),
+    fences = (F.length("_t") - F.length(F.replace("_t", F.lit("```"), F.lit("")))) / 3
+    return held.select(
+        "source_table",
+        "record_id",
+        "position",
+        "source",
+        "_t",
+        "_lines",
+        F.element_at("_lines", -1).alias("shape"),
         F.xxhash64(before).alias("ctx"),
-        F.regexp_extract(F.lower("_t"), "[\\p{L}\\p{N}_.]+$", 0).alias("word"),
+        F.reverse(F.regexp_extract(F.reverse("_t"), "^[\\p{L}\\p{N}_.]+", 0)).alias("word"),
+        F.length("text").alias("chars"),
+        F.octet_length("text").alias("bytes"),
+        F.xxhash64(F.translate("_t", _BLANK + _PUNCTUATION, "")).alias("same"),
+        ((fences % 2 == 1) & F.col("_t").startswith("```")).alias("fence"),
     )
 
 
@@ -132,8 +147,8 @@ def _shape_verdicts(shapes: DataFrame) -> DataFrame:
 
 def _torn_words(ends: DataFrame) -> DataFrame:
     """(source_table, word, fin) of last words that are beginnings of other words."""
-    inside = F.regexp_replace(F.lower("_t"), "[\\p{L}\\p{N}_.]+$", "")
-    all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]+"))).alias("word"))
+    inside = F.left("_t", F.length("_t") - F.length("word"))
+    all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]++"))).alias("word"))
     whole = keep(all_words.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("whole")), "vocabulary")
     last = ends.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("fin"))
     starts = whole.where((F.col("whole") >= KNOWN) & (F.length("word") > 1)).select(
@@ -186,17 +201,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     verdicts = keep(_shape_verdicts(keep(_shape_table(ends), "shapes")), "verdicts")
     torn = keep(_torn_words(ends).withColumn("torn", F.lit(True)), "torn")
     ident = ["source_table", "record_id", "position", "source"]
-    fences = (F.length("_t") - F.length(F.replace("_t", F.lit("```"), F.lit("")))) / 3
-    small = ends.select(
-        *ident,
-        "ctx",
-        "shape",
-        "word",
-        F.length("text").alias("chars"),
-        F.octet_length("text").alias("bytes"),
-        F.xxhash64(F.regexp_replace(F.lower("_t"), "[^\\p{L}\\p{N}]+", "")).alias("same"),
-        ((fences % 2 == 1) & F.col("_t").startswith("```")).alias("fence"),
-    )
+    small = ends.select(*ident, "ctx", "shape", "word", "chars", "bytes", "same", "fence")
     met = hot_join(small, verdicts, ["source_table", "ctx", "shape"], "fin", totals)
     met = hot_join(met, torn, ["source_table", "word"], "fin", totals, "left")
     reason = F.coalesce("broken", F.when(F.col("torn"), "word"), F.when(F.col("fence"), "fence"))
@@ -223,8 +228,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
 
 def cut_rates(texts: DataFrame) -> DataFrame:
     """(source_table, source, n_texts, n_cut, share) per source; null and blank texts are no texts."""
-    blank = F.regexp_replace("text", f"[{_BLANK}]+", "")
-    n = texts.where(blank != "").groupBy("source_table", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_texts"))
+    n = texts.where(F.col("text").rlike(f"[^{_BLANK}]")).groupBy("source_table", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_texts"))
     cut = cut_texts(texts).groupBy("source_table", "source").agg(F.count("*").alias("n_cut"))
     both = n.join(cut, ["source_table", "source"], "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
     return both.withColumn("share", F.col("n_cut") / F.col("n_texts"))
