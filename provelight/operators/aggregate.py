@@ -187,7 +187,8 @@ def success_stats(df: DataFrame, mode: str, model: str) -> DataFrame:
         F.avg(F.col(mode).isin(*solid).cast("double")).alias("substantive_fraction"),
         F.avg((F.col(mode).isin("one_liner_automation", "brute_force_decide")).cast("double")).alias("automation_fraction"),
     ]
-    return rows.groupingSets([[F.col(model)], []], F.col(model).alias("model")).agg(F.grouping(model).alias("over_all"), *agg)
+    rows = rows.select(F.col(model).alias("model"), mode)
+    return rows.groupingSets([["model"], []], "model").agg(F.grouping("model").alias("over_all"), *agg)
 
 
 def sample_duplication(df: DataFrame, task: str, text: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provelight import dims
 from provelight.functions.lean import dependency_column, strip_comments_column
-from provelight.functions.text import all_of, bracket_depth, count_of, indent_depth, is_blank, lines_of, matches, strip
+from provelight.functions.text import all_of, bracket_depth, count_of, indent_depth, is_blank, java, lines_of, matches, rstrip, strip
 
 STRUCTURE_FIELDS = (
     "lines code_lines tokens named_steps local_dependency_depth cited_lemmas auxiliary_declarations max_nesting_depth "
@@ -125,14 +125,12 @@ def add_statement(df: DataFrame, statement: str, language: str | Column = "lean4
     types = F.transform(all_of(h, dims.BINDER, 3), strip)
     instance = F.transform(
         all_of(h, dims.INSTANCE_BINDER, 1),
-        lambda x: strip(F.when(x.contains(":"), F.expr("''")).otherwise(x)) if False else strip(F.regexp_replace(x, r"^[^:]*:", "")),
+        lambda x: strip(F.regexp_replace(x, r"^[^:]*:", "")),
     )
     openers = all_of(h, dims.BINDER, 1)
     both = F.filter(F.concat(types, instance), lambda x: x != "")
     normal = F.transform(both, lambda x: F.regexp_replace(x, r"(?U)\s+", " "))
     # What follows the last binder of either form; a greedy prefix finds it.
-    from provelight.functions.text import java
-
     last = f"(?s)^.*(?:{java(dims.BINDER).removeprefix('(?d)')}|{java(dims.INSTANCE_BINDER).removeprefix('(?d)')})"
     rest = F.regexp_replace(strip(F.regexp_replace(h, last, "")), r"(?U)^\s*:\s*", "")
     fields = {
@@ -153,17 +151,13 @@ def add_statement(df: DataFrame, statement: str, language: str | Column = "lean4
 
 def assembled_source(statement: Column, header: Column, proof: Column, assembly: Column) -> Column:
     """The text handed to a prover: whole file, header and proof, or statement continued by the proof."""
-    from provelight.functions.text import rstrip
-
     h, st = rstrip(F.coalesce(header, F.lit(""))), rstrip(F.coalesce(statement, F.lit("")))
     proof = F.coalesce(proof, F.lit(""))
     led = F.regexp_replace(proof, r"(?U)^\s+", "")
-    go = F.when(st.endswith(":=") & led.startswith(":="), F.expr("null").cast("string"))
     tail = F.when(st.endswith(":=") & led.startswith(":="), F.substring(led, 3, 1 << 30)).otherwise(proof)
     joined = F.when(tail.startswith("\n"), F.concat(st, rstrip(tail))).when(
         ~is_blank(tail), F.concat(st, F.lit(" "), strip(tail))
     ).otherwise(st)
-    del go
     full = lambda part: F.when(~is_blank(part), part)
     two = lambda part: F.concat(F.concat_ws("\n\n", full(h), full(part)), F.lit("\n"))
     return F.when(assembly == "full_file", proof).when(assembly == "header_plus_proof", two(proof)).otherwise(two(joined))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provelight import dims
-from provelight.functions.lean import parse_column, strip_comments_column
+from provelight.functions.lean import foreign_attributes, parse_column, strip_comments_column, top_level_arguments
 from provelight.functions.text import all_of, matches, strip
 
 _IMPORT = r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_.']*)"
@@ -142,10 +143,6 @@ def add_interface_report(df: DataFrame, source: str, module: Column, wants_value
     Faults come in one fixed order: what cannot be read, the solution missing or
     unproved, namespaces, binders, placeholders and hacks, extensions, imports.
     """
-    import pandas as pd
-
-    from provelight.functions.lean import foreign_attributes, top_level_arguments
-
     @F.pandas_udf("array<string>")
     def arguments(signature: pd.Series) -> pd.Series:
         marker = "Problem.Target"
