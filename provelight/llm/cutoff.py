@@ -146,20 +146,24 @@ def _shape_verdicts(shapes: DataFrame) -> DataFrame:
 
 
 def _torn_words(ends: DataFrame) -> DataFrame:
-    """(source_table, word, fin) of last words that are beginnings of other words."""
+    """(source_table, word, fin, torn) of every last word; torn ones are beginnings of longer words.
+
+    Texts that end in no word have the word ''.  All last words are in the table,
+    so that hot ones can be told apart before they are joined.
+    """
     inside = F.left("_t", F.length("_t") - F.length("word"))
     all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]++"))).alias("word"))
     whole = keep(all_words.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("whole")), "vocabulary")
-    last = ends.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("fin"))
+    last = ends.groupBy("source_table", "word").agg(F.count("*").alias("fin"))
     starts = whole.where((F.col("whole") >= KNOWN) & (F.length("word") > 1)).select(
         "source_table", "whole", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("_k")
     )
     longer = starts.groupBy("source_table", F.expr("substring(word, 1, _k)").alias("word")).agg(F.sum("whole").alias("ext"))
     n_texts = F.broadcast(ends.groupBy("source_table").agg(F.count("*").alias("_texts")))
-    both = last.join(longer, ["source_table", "word"]).join(whole, ["source_table", "word"], "left").join(n_texts, "source_table")
-    full = F.col("fin") + F.coalesce("whole", F.lit(0))
-    torn = (F.col("ext") > GOES_ON * (full + F.col("ext"))) & (F.col("fin") < REGULAR * F.col("_texts"))
-    return both.where(torn & ~F.col("word").rlike("^\\p{Nd}+$")).select("source_table", "word", "fin")
+    both = last.join(longer, ["source_table", "word"], "left").join(whole, ["source_table", "word"], "left").join(n_texts, "source_table")
+    full, ext = F.col("fin") + F.coalesce("whole", F.lit(0)), F.coalesce("ext", F.lit(0))
+    torn = (ext > GOES_ON * (full + ext)) & (F.col("fin") < REGULAR * F.col("_texts"))
+    return both.select("source_table", "word", "fin", (torn & F.col("word").rlike("[^\\p{Nd}]")).alias("torn"))
 
 
 def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) -> DataFrame:
@@ -199,11 +203,11 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     ends = keep(_endings(texts), "ends")
     totals = ends.count()
     verdicts = keep(_shape_verdicts(keep(_shape_table(ends), "shapes")), "verdicts")
-    torn = keep(_torn_words(ends).withColumn("torn", F.lit(True)), "torn")
+    torn = keep(_torn_words(ends), "torn")
     ident = ["source_table", "record_id", "position", "source"]
     small = ends.select(*ident, "ctx", "shape", "word", "chars", "bytes", "same", "fence")
     met = hot_join(small, verdicts, ["source_table", "ctx", "shape"], "fin", totals)
-    met = hot_join(met, torn, ["source_table", "word"], "fin", totals, "left")
+    met = hot_join(met, torn, ["source_table", "word"], "fin", totals)
     reason = F.coalesce("broken", F.when(F.col("torn"), "word"), F.when(F.col("fence"), "fence"))
     judged = keep(met.select(*ident, "chars", "bytes", "same", reason.alias("reason")), "judged")
     # Limits, in both units at once.

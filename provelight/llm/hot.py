@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 SHARE = 256
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """Join ``left`` with ``right`` (one row per key, ``count`` left rows each).
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (one row per key, ``count`` left rows each).
 
     ``total`` is the number of left rows that have a partner or an upper bound
-    of it.  ``how`` is ``inner`` or ``left``.  ``count`` is not in the result.
+    of it.  A key of the left that is not on the right must not be hot.
+    ``count`` is not in the result.
     """
     hot = F.broadcast(right.where(F.col(count) * SHARE > total).drop(count).withColumn("_hot", F.lit(True)))
     cold = right.where(F.col(count) * SHARE <= total).drop(count)
     extra = [c for c in cold.columns if c not in on]
     marked = left.join(hot, on, "left")
     done = marked.where("_hot").drop("_hot")
-    rest = marked.where("_hot is null").drop("_hot", *extra).join(cold, on, how)
+    rest = marked.where("_hot is null").drop("_hot", *extra).join(cold, on)
     return done.unionByName(rest)
