@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provelight.llm.hot import hot_join
 from provelight.store import keep
 
 # Characters that do not count.  White space is what Unicode calls so, and U+200B and U+FEFF.
@@ -83,37 +84,41 @@ def dress_copies(
     form.  Rows whose text is null or has nothing left are no copies of any.
     keep_id is the smallest key of a group.
     """
-    rows = df.select(key, *fields, *maps, bare(F.col(text)).alias("_bare")).where("_bare <> ''")
+    bared = df.where(F.col(text).isNotNull()).select(key, *fields, *maps, bare(F.col(text)).alias("_bare"))
+    rows = bared.where(F.length("_bare") > 0)
     marks = fingerprint({"_bare": F.col("_bare"), **{f: F.col(f) for f in fields}}, {m: F.col(m) for m in maps}, bits)
     prints = [f"_f{i}" for i in range(len(marks))]
-    printed = rows.select(F.col(key), *[m.alias(p) for m, p in zip(marks, prints, strict=True)])
+    # The one pass over all texts leaves four numbers a row.
+    printed = keep(rows.select(F.col(key).alias("_id"), *[m.alias(p) for m, p in zip(marks, prints, strict=True)]), "prints")
     groups = keep(
-        printed.groupBy(*prints).agg(F.min(key).alias("_keep"), F.count("*").alias("_n")).where("_n > 1"), "groups"
+        printed.groupBy(*prints).agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1"), "groups"
     )
     # A group of any size: its kept row is repeated once for each PER_SALT members.
-    salts = F.ceil(F.col("_n") / PER_SALT).cast("int")
-    members = printed.join(groups.select(*prints, "_keep", salts.alias("_s")), prints).select(
-        F.col(key).alias("_id"), "_keep", F.pmod(F.xxhash64(key), F.col("_s")).cast("int").alias("_salt")
-    )
-    ids = keep(members, "members")
-    fulls = rows.withColumnRenamed(key, "_id")
-    mine = fulls.join(ids.where("_id <> _keep"), "_id")
+    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    sized = groups.select(*prints, "_keep", F.ceil(F.col("_n") / PER_SALT).cast("int").alias("_s"), "_n")
+    members = hot_join(printed, sized, prints, "_n", total).select("_id", "_keep", "_s")
+    # Texts are fetched for members of groups only, and made bare again once.
+    full = df.select(F.col(key).alias("_id"), F.col(text), *fields, *maps).join(members, "_id")
+    full = keep(full.select("_id", "_keep", "_s", bare(F.col(text)).alias("_bare"), *fields, *maps), "members")
+    mine = full.where("_id <> _keep").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
     names = {c: f"_k_{c}" for c in ["_bare", *fields, *maps]}
     kept = (
-        fulls.join(groups.select(F.col("_keep").alias("_id"), salts.alias("_s")), "_id")
+        full.where("_id = _keep")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-        .select(F.col("_id").alias("_keep"), "_salt", *[F.col(c).alias(n) for c, n in names.items()])
+        .select("_keep", "_salt", *[F.col(c).alias(n) for c, n in names.items()])
     )
     same = F.col("_bare") == F.col("_k__bare")
     for f in fields:
         same = same & F.col(f).eqNullSafe(F.col(names[f]))
     for m in maps:
         same = same & _same_map(F.col(m), F.col(names[m]))
-    met = mine.join(kept, ["_keep", "_salt"]).withColumn("_same", same)
-    found = met.where("_same").select(F.col("_keep").alias("keep_id"), F.col("_id").alias("copy_id"))
-    strays = keep(met.where("not _same").select("_id", "_bare", *fields, *maps), "strays")
+    met = mine.join(kept, ["_keep", "_salt"]).select("_keep", "_id", same.alias("_same"))
+    judged = keep(met, "judged")
+    found = judged.where("_same").select(F.col("_keep").alias("keep_id"), F.col("_id").alias("copy_id"))
+    strays = judged.where("not _same").select("_id")
     if strays.isEmpty():
         return found
+    strays = full.join(strays, "_id")
     # Equal fingerprints of unequal records: group these by the fields themselves.
     entries = [F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))).alias(m) for m in maps]
     exact = strays.select("_id", "_bare", *fields, *entries)
