@@ -138,7 +138,7 @@ def foreign_imports(modules: Column, allowed: Sequence[str], own: Column) -> Col
 
 
 def add_interface_report(df: DataFrame, source: str, module: Column, wants_value: Column, allowed_imports: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``faults`` array<struct<fault, detail>>, ``submitted_arguments`` and ``helper_count`` of an answer file.
+    """Adds ``faults`` array<struct<fault, detail>>, ``submitted_arguments``, ``helper_count`` and ``solution_body`` of an answer file.
 
     Faults come in one fixed order: what cannot be read, the solution missing or
     unproved, namespaces, binders, placeholders and hacks, extensions, imports.
@@ -191,5 +191,6 @@ def add_interface_report(df: DataFrame, source: str, module: Column, wants_value
         work.withColumn("faults", faults_)
         .withColumn("submitted_arguments", arguments(sol["signature"]))
         .withColumn("helper_count", F.size(decls) - F.when(sol.isNotNull(), 1).otherwise(0))
+        .withColumn("solution_body", sol["body"])
         .drop("_file", "_violations", "_solution")
     )

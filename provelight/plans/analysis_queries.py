@@ -166,12 +166,24 @@ def assembled_sources(spark, sf_dir):
     return a.join(t, "task_id").select("record_id", F.sha2(source, 256).alias("content_hash"), F.length(source).alias("chars"))
 
 
-def screened_proofs(spark, sf_dir):
-    """Rules that fire on the proofs, with the number of proofs."""
-    a = _read(spark, sf_dir, "attempts").select("proof")
-    df = S.add_violations(a, "proof", F.lit("lean4"))
-    rows = df.select(F.explode(F.array_distinct(F.transform("violations", lambda v: S.label_parts(v)[1]))).alias("rule"))
-    return rows.groupBy("rule").agg(F.count("*").alias("n"))
+def screened_sources(spark, sf_dir):
+    """Rules that fire on the assembled sources, with the number of sources, by language of the task."""
+    t = _read(spark, sf_dir, "tasks").select("task_id", "formal_statement", "header", "assembly", "language")
+    a = _read(spark, sf_dir, "attempts").select("task_id", "proof").join(t, "task_id")
+    source = M.assembled_source(F.col("formal_statement"), F.col("header"), F.col("proof"), F.col("assembly"))
+    # A statement the engine itself put in front of the proof cannot be altered.
+    required = F.when(F.col("assembly") != "continue_statement", F.col("formal_statement"))
+    df = S.add_violations(a.select("language", source.alias("source"), required.alias("required")), "source", F.col("language"), F.col("required"))
+    rows = df.select("language", F.explode(F.array_distinct(F.transform("violations", lambda v: S.label_parts(v)[1]))).alias("rule"))
+    return rows.groupBy("language", "rule").agg(F.count("*").alias("n"))
+
+
+def screened_statements(spark, sf_dir):
+    """Problems whose own statement or header rests on something unchecked."""
+    t = _read(spark, sf_dir, "tasks")
+    text = F.concat_ws("\n", "header", "formal_statement")
+    df = S.add_violations(t.select("task_id", "language", text.alias("source")), "source", F.col("language"), None, dims.STATEMENT_CLASSES, subject="problem")
+    return df.select("task_id", F.size("violations").alias("n_violations"))
 
 
 def hack_histogram(spark, sf_dir):
@@ -271,7 +283,7 @@ NAMES = (
     "tactic_frequency tactic_totals edge_tactics transitions top_transitions tactic_positions structure_stats time_distribution "
     "correlations failure_stats success_stats first_error_position sample_duplication index_attempts error_kinds failure_modes "
     "success_modes invented_names truncated_look proof_sizes proof_structure proof_repetition extracted_tactics statement_complexity "
-    "assembled_sources screened_proofs hack_histogram axiom_audit leaderboard problem_stats refusal_reasons ranked_reasons "
+    "assembled_sources screened_sources screened_statements hack_histogram axiom_audit leaderboard problem_stats refusal_reasons ranked_reasons "
     "statement_summary usage_totals consensus_labels health_summary health_states mock_verdicts latest_results prover_messages "
     "answers_split repeated_tactics"
 ).split()
@@ -415,6 +427,43 @@ def oracle_sql() -> dict[str, str]:
         "mock_verdicts": f"""with d as (select record_id, proof, ('0x' || left(sha256('seed' || proof), 16))::ubigint::double / 18446744073709551616.0 x from attempts where proof is not null)
  select record_id, case {" ".join(f"when contains(proof, '{m}') then '{s}'" for m, s, _ in dims.MOCK_MARKERS)} when x < 0.3 then 'verified' else 'failed' end status,
  case {" ".join(f"when contains(proof, '{m}') then {'null' if k is None else repr(k)}" for m, _, k in dims.MOCK_MARKERS)} when x < 0.3 then null else 'unsolved_goals' end error_kind from d""",
+        "extracted_tactics": f"""with b as (select regexp_replace(regexp_replace(proof, '/-(.|\\n)*?(-/|\\z)', ' ', 'g'), '--[^\\n]*', ' ', 'g') b from attempts where proof is not null),
+ r as (select unnest(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_.''!?]+')) r from b), w as (select regexp_extract(r, '^[a-zA-Z_][a-zA-Z0-9_''!?]*') w from r)
+ select w tactic, count(*) n from w where w in ({_quoted(dims.LEAN_TACTICS)}) group by w""",
+        "axiom_audit": f"""with a as (select case when len(diagnostics) > 0 then list_sort(list_distinct(list_filter(flatten(list_transform(list_filter(diagnostics, lambda d: d is not null),
+ lambda d: regexp_extract_all(coalesce(d.message, ''), '(?i){_re2(dims.INVENTED_NAME)}', 1))), lambda n: n not in ({_quoted(dims.ALLOWED_AXIOMS)})))) end a from results),
+ v as (select case when a is null then ['kernel.audit_missing'] else list_transform(a, lambda n: case when n = 'sorryAx' then 'kernel.sorry_ax'
+ when n in ({_quoted(dims.COMPILER_AXIOMS)}) then 'kernel.compiler_trust' else 'kernel.nonstandard_axiom' end) end v from a), u as (select unnest(v) rule from v)
+ select rule, count(*) n from u group by rule""",
+        "assembled_sources": f"""with j as (select record_id, coalesce(proof, '') p, assembly, {_RT("coalesce(header, '')")} h, {_RT("coalesce(formal_statement, '')")} st from attempts join tasks using (task_id)),
+ k as (select *, regexp_replace(p, '^{_SPACE}+', '') led from j), l as (select *, case when st like '%:=' and led like ':=%' then substr(led, 3) else p end tail from k),
+ m as (select *, case when tail like chr(10) || '%' then st || {_RT("tail")} when {_STRIP("tail")} <> '' then st || ' ' || {_STRIP("tail")} else st end joined from l),
+ s as (select record_id, case when assembly = 'full_file' then p else array_to_string(list_filter([h, case when assembly = 'header_plus_proof' then p else joined end],
+ lambda x: {_STRIP("x")} <> ''), chr(10) || chr(10)) || chr(10) end s from m) select record_id, sha256(s) content_hash, length(s)::int chars from s""",
+        "proof_repetition": f"""with a as (select record_id, proof, {lines} ls from attempts where proof is not null), b as (select record_id, {code} c, regexp_extract_all(proof, '{token}') t from a),
+ g as (select *, list_transform(generate_series(1, len(t) - 2), lambda i: t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2]) g from b),
+ u as (select record_id, unnest(c) x, unnest(generate_series(1, len(c))) i from b), w as (select record_id, x, i - row_number() over (partition by record_id, x order by i) k from u),
+ r as (select record_id, max(n) n from (select record_id, count(*) n from w group by record_id, x, k) group by record_id)
+ select g.record_id, case when len(c) = 0 then 0.0 else 1 - len(list_distinct(c)) / len(c) end line_repetition_rate,
+ case when len(t) < 3 then 0.0 else 1 - len(list_distinct(g)) / len(g) end repeated_trigram_rate,
+ case when coalesce(n, 0) > 1 then n else 0 end::int max_consecutive_duplicate_lines from g left join r using (record_id)""",
+        "screened_statements": "select task_id, 0::int n_violations from tasks",
+        "statement_complexity": f"""with h as (select task_id, string_split(formal_statement, ':=')[1] h from tasks),
+ b as (select task_id, h, regexp_extract_all(h, '{_re2(dims.BINDER)}', 1) o, list_transform(regexp_extract_all(h, '{_re2(dims.BINDER)}', 3), lambda x: trim(x)) t,
+ regexp_extract_all(h, '{_re2(dims.INSTANCE_BINDER)}', 1) ib from h)
+ select task_id, (len(o) + len(ib))::int binders, len(list_filter(t, lambda x: regexp_matches(x, '{_re2(dims.PROP_TYPE)}')))::int hypotheses,
+ len(list_filter(o, lambda x: x in ('{{', '⦃')))::int implicit_binders, len(ib)::int instance_binders,
+ len(regexp_extract_all(regexp_replace(trim(regexp_replace(h, '(?s)^.*(?:{_re2(dims.BINDER)}|{_re2(dims.INSTANCE_BINDER)})', '')), '^\\s*:\\s*', ''), '{token}'))::int conclusion_tokens,
+ len(regexp_extract_all(h, '{_re2(dims.QUANTIFIER)}'))::int quantifiers, len(regexp_extract_all(h, '{_re2(dims.CONNECTIVE)}'))::int connectives,
+ len(list_distinct(regexp_extract_all(h, '{_re2(dims.QUALIFIED)}', 1)))::int cited_definitions,
+ len(list_distinct(list_filter(list_concat(t, ib), lambda x: x <> '')))::int distinct_types, len(regexp_extract_all(h, '{token}'))::int total_tokens,
+ case when regexp_matches(h, '[(\\[{{⟨⦃]') then 1 else 0 end max_nesting_depth from b""",
+        "prover_messages": f"""with l as (select run_id, unnest(regexp_split_to_array(stdout, '\\r\\n|\\n')) raw, unnest(generate_series(1, len(regexp_split_to_array(stdout, '\\r\\n|\\n')))) i from container_runs where stdout is not null),
+ s as (select run_id, i, {_STRIP("raw")} x, raw from l), g as (select *, regexp_matches(x, '{_re2(dims.PROVER_LINE)}') o, sum(regexp_matches(x, '{_re2(dims.PROVER_LINE)}')::int) over (partition by run_id order by i) k from s),
+ m as (select run_id, k, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 4) end) severity, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 5) end) f,
+ max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 2)::int end) line, string_agg(raw, chr(10) order by i) filter (not o) rest from g where k > 0 group by run_id, k),
+ n as (select severity, line, {_cases("f", dims.ERROR_KINDS, "null")} k1, {_cases("f || chr(10) || coalesce(rest, '')", dims.ERROR_KINDS, "'unknown'")} k2 from m)
+ select severity, case when severity = 'error' then coalesce(k1, k2) end kind, count(*) n, sum(line)::bigint line_sum from n group by 1, 2""",
         "answers_split": "select t.task_id is not null recognized, count(*) n from results r left join tasks t using (task_id) group by 1",
         "repeated_tactics": """with a as (select task_id, unnest(tactics) tactic, sample_index from results), b as (select task_id, tactic, count(*) n, count(*) filter (sample_index = 0) b from a group by all)
  select task_id, tactic, n - b extra from b where n > b""",

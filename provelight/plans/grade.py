@@ -25,6 +25,7 @@ from provelight.operators.measure import add_statement, add_structure
 from provelight.operators.screen import add_interface_report, axiom_violations, label_parts
 from provelight.sources.folders import Policy, Submissions
 from provelight.sources.runs import RunFolder
+from provelight.store import keep
 
 BUILD = (
     "participant string, problem_id string, status string, failed_stage string, axioms array<string>, "
@@ -109,6 +110,8 @@ def grade(answers: DataFrame, problems: DataFrame, verifier: Verifier, policy: P
     module = F.concat(F.lit("Bench."), F.col("problem_id"))
     rows = answers.join(faces, "problem_id").withColumn("module", module)
     rows = add_interface_report(rows, "source", F.col("module"), F.size("target_parameters") > 0, policy.allowed_imports)
+    # Both the verifier and the graded rows read the screened answers.
+    rows = keep(rows, "screened")
     clean = rows.where(F.size("faults") == 0)
     builds = verifier(clean.select("participant", "problem_id", "source", "module"))
     built = builds.select("participant", "problem_id", F.struct("status", "failed_stage", "axioms", "diagnostics", "compile_time_s").alias("build"))
@@ -136,8 +139,7 @@ def grade(answers: DataFrame, problems: DataFrame, verifier: Verifier, policy: P
 
 def _measured(rows: DataFrame) -> DataFrame:
     """Adds tactics, structure, statement measures, failure and success mode."""
-    body = F.get(F.filter(parse_column(F.col("source"))["declarations"], lambda d: d["qualified_name"] == "Submission.solution"), F.lit(0))["body"]
-    rows = rows.withColumn("proof", F.coalesce(F.nullif(body, F.lit("")), F.col("source")))
+    rows = rows.withColumn("proof", F.coalesce(F.nullif("solution_body", F.lit("")), F.col("source"))).drop("solution_body")
     rows = add_statement(add_structure(rows, "proof"), "statement")
     audit_rules = F.transform(F.coalesce("audit", F.array().cast("array<string>")), lambda v: F.struct(*[p.alias(n) for p, n in zip(label_parts(v), ("c", "r"), strict=True)]))
     hacked = F.exists("faults", lambda f: f["fault"] == "reward_hacking") | F.exists(audit_rules, lambda a: a["c"] != "placeholder")
