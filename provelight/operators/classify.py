@@ -26,7 +26,9 @@ def error_kind(message: Column) -> Column:
 def looks_truncated(proof: Column) -> Column:
     """More opening than closing brackets, or an ending that announces more."""
     text = rstrip(proof)
-    return (text != "") & ((open_brackets(text, dims.OPENERS, dims.CLOSERS) > 0) | matches(text, dims.TRUNCATED_TAIL))
+    # The ending is at most a keyword of six letters and what stands before it.
+    ending = F.right(text, F.lit(16))
+    return (text != "") & ((open_brackets(text, dims.OPENERS, dims.CLOSERS) > 0) | matches(ending, dims.TRUNCATED_TAIL))
 
 
 def error_messages(diagnostics: Column) -> Column:
@@ -35,9 +37,12 @@ def error_messages(diagnostics: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(errors, lambda d: d["message"]), "\n"), F.lit(""))
 
 
-def failure_mode(status: Column, kind: Column, diagnostics: Column, proof: Column, sound: Column) -> Column:
-    """What went wrong with an attempt; NULL for a clean success."""
-    messages = error_messages(diagnostics)
+def failure_mode(status: Column, kind: Column, messages: Column, proof: Column, sound: Column) -> Column:
+    """What went wrong with an attempt; NULL for a clean success.
+
+    ``messages`` should be a column made by ``error_messages`` in a projection
+    of its own: the rules below look at it up to 37 times.
+    """
     fallback = F.create_map(*[F.lit(x) for pair in dims.FAILURE_FALLBACK.items() for x in pair])
     cut = matches(messages, "unexpected end of input", True) | (
         looks_truncated(proof) & ((messages == "") | matches(messages, "unexpected token|expected", True))

@@ -52,7 +52,8 @@ def statement_names(stripped: Column) -> Column:
 def homoglyph(body: Column) -> Column:
     """The first identifier that mixes ASCII letters with Cyrillic lookalikes."""
     mixed = lambda t: t.rlike(f"[{dims.CYRILLIC_LOOKALIKES}]") & t.rlike("[A-Za-z]")
-    return F.get(F.filter(F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9_'Ѐ-ӿ]{2,}"), F.lit(0)), mixed), F.lit(0))
+    first = F.get(F.filter(F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9_'Ѐ-ӿ]{2,}"), F.lit(0)), mixed), F.lit(0))
+    return F.when(body.rlike(f"[{dims.CYRILLIC_LOOKALIKES}]"), first)
 
 
 def add_violations(
@@ -72,7 +73,8 @@ def add_violations(
     Null sources have no violations.
     """
     work = df.withColumn("_body", strip_comments_column(F.coalesce(F.col(source), F.lit("")), language))
-    body, low = F.col("_body"), F.lower("_body")
+    work = work.withColumn("_low", F.lower("_body"))
+    body, low = F.col("_body"), F.col("_low")
     found: list[Column] = []
     for rule, hack, languages, pattern, literals, _ in dims.SCREEN_RULES:
         if hack not in classes:
@@ -95,7 +97,8 @@ def add_violations(
         missing = asked & (wanted != "") & ~normal_statement(body).contains(wanted)
         arrays.append(F.array(F.when(missing, label("statement_tampering", "generic.statement_altered", f"{subject} lacks the required statement"))))
         lean = language.isin("lean4", "lean3")
-        names = statement_names(F.col("_req"))
+        work = work.withColumn("_names", statement_names(F.col("_req")))
+        names = F.col("_names")
         shadow = F.array_sort(F.array_intersect(F.when(lean, all_of(body, _DECLARED, 1)).otherwise(F.array().cast("array<string>")), names))
         note = F.concat(F.lit(f"{subject} redefines "), F.array_join(F.slice(shadow, 1, 4), ", "))
         arrays.append(F.array(F.when(asked & (F.size(shadow) > 0), label("definition_shadowing", "lean.redefines_statement_term", note))))
@@ -106,7 +109,7 @@ def add_violations(
         hits = F.filter(spaces, lambda s: ~s.isin("hiding", "renaming", "in") & F.array_contains(bare, F.substring_index(s, ".", -1)))
         note_ = lambda s: label("definition_shadowing", "lean.open_shadows_statement", F.concat(F.lit(f"{subject} opens "), s))
         arrays.append(F.when(asked, F.transform(hits, note_)).otherwise(F.array().cast("array<string>")))
-    return work.withColumn("violations", F.filter(F.concat(*arrays), lambda v: v.isNotNull())).drop("_body", "_req")
+    return work.withColumn("violations", F.filter(F.concat(*arrays), lambda v: v.isNotNull())).drop("_body", "_low", "_req", "_names")
 
 
 def multiset_excess(theirs: DataFrame, base: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provelight import dims
+from provelight.functions.lean import strip_comments_column
 from provelight.operators import aggregate as A
 from provelight.operators import classify as C
 from provelight.operators import measure as M
 from provelight.operators import screen as S
 from provelight.operators import verdict as V
+from provelight.store import spread
 
 METRICS = ("chars", "lines", "tokens", "max_line_chars", "named_steps")
 
@@ -23,6 +25,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is bound by the processor."""
+    return spread(_read(spark, sf_dir, name).select(*columns))
+
+
 def _results(spark: SparkSession, sf_dir: str):
     df = _read(spark, sf_dir, "results")
     return df, *A.outcome(F.col("status"))
@@ -100,18 +107,19 @@ def index_attempts(spark, sf_dir):
 
 
 def error_kinds(spark, sf_dir):
-    rows = _read(spark, sf_dir, "results").select(F.explode("diagnostics").alias("d")).where("d.message is not null")
+    rows = _wide(spark, sf_dir, "results", "diagnostics").select(F.explode("diagnostics").alias("d")).where("d.message is not null")
     kind = C.error_kind(F.col("d.message"))
     return rows.groupBy(F.col("d.kind").alias("recorded"), kind.alias("found")).agg(F.count("*").alias("n"))
 
 
 def failure_modes(spark, sf_dir):
     """Failure mode of every result, from its status, messages and proof."""
-    r = _read(spark, sf_dir, "results").select("record_id", "attempt_id", "status", "error_kind", "diagnostics", F.col("soundness.ok").alias("ok"))
+    r = _wide(spark, sf_dir, "results", "record_id", "attempt_id", "status", "error_kind", "diagnostics", "soundness.ok")
     # Rows delivered again share an attempt_id: the first delivered proof stands for it.
     first = _read(spark, sf_dir, "attempts").groupBy("attempt_id").agg(F.min_by("proof", "record_id").alias("proof"))
+    r = r.withColumn("messages", C.error_messages(F.col("diagnostics"))).drop("diagnostics")
     both = r.join(first, "attempt_id", "left")
-    mode = C.failure_mode(F.col("status"), F.col("error_kind"), F.col("diagnostics"), F.col("proof"), F.col("ok"))
+    mode = C.failure_mode(F.col("status"), F.col("error_kind"), F.col("messages"), F.col("proof"), F.col("ok"))
     return both.select("record_id", mode.alias("mode"))
 
 
@@ -127,31 +135,32 @@ def invented_names(spark, sf_dir):
 
 
 def truncated_look(spark, sf_dir):
-    return _read(spark, sf_dir, "attempts").where("proof is not null").select("record_id", C.looks_truncated(F.col("proof")).alias("truncated"))
+    return _wide(spark, sf_dir, "attempts", "record_id", "proof").where("proof is not null").select("record_id", C.looks_truncated(F.col("proof")).alias("truncated"))
 
 
 def proof_sizes(spark, sf_dir):
     """The measures of every proof as it stands, comments included."""
-    df = M.add_structure(_read(spark, sf_dir, "attempts").where("proof is not null").select("record_id", "proof"), "proof", strip_=False)
+    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof").where("proof is not null"), "proof", strip_=False)
     names = "chars lines max_line_chars code_lines tokens line_comments comment_segments calc_blocks branch_points distinct_code_lines".split()
     return df.select("record_id", *[F.col(f"structure.{n}").alias(n) for n in names])
 
 
 def proof_structure(spark, sf_dir):
     """All 24 measures of every proof without its comments."""
-    df = M.add_structure(_read(spark, sf_dir, "attempts").select("record_id", "proof"), "proof")
+    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof"), "proof")
     return df.select("record_id", "structure.*").drop("declarations")
 
 
 def proof_repetition(spark, sf_dir):
-    df = M.add_structure(_read(spark, sf_dir, "attempts").where("proof is not null").select("record_id", "proof"), "proof", strip_=False)
+    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof").where("proof is not null"), "proof", strip_=False)
     names = ("line_repetition_rate", "repeated_trigram_rate", "max_consecutive_duplicate_lines")
     return df.select("record_id", *[F.col(f"structure.{n}").alias(n) for n in names])
 
 
 def extracted_tactics(spark, sf_dir):
-    df = M.add_structure(_read(spark, sf_dir, "attempts").select("record_id", "proof"), "proof")
-    return df.select(F.explode("tactics").alias("tactic")).groupBy("tactic").agg(F.count("*").alias("n"))
+    body = strip_comments_column(F.coalesce("proof", F.lit("")))
+    names = _wide(spark, sf_dir, "attempts", "proof").select(body.alias("body")).select(F.explode(M.tactics(F.col("body"))).alias("tactic"))
+    return names.groupBy("tactic").agg(F.count("*").alias("n"))
 
 
 def statement_complexity(spark, sf_dir):
@@ -169,7 +178,7 @@ def assembled_sources(spark, sf_dir):
 def screened_sources(spark, sf_dir):
     """Rules that fire on the assembled sources, with the number of sources, by language of the task."""
     t = _read(spark, sf_dir, "tasks").select("task_id", "formal_statement", "header", "assembly", "language")
-    a = _read(spark, sf_dir, "attempts").select("task_id", "proof").join(t, "task_id")
+    a = _wide(spark, sf_dir, "attempts", "task_id", "proof").join(t, "task_id")
     source = M.assembled_source(F.col("formal_statement"), F.col("header"), F.col("proof"), F.col("assembly"))
     # A statement the engine itself put in front of the proof cannot be altered.
     required = F.when(F.col("assembly") != "continue_statement", F.col("formal_statement"))
@@ -260,7 +269,7 @@ def latest_results(spark, sf_dir):
 
 def prover_messages(spark, sf_dir):
     """Messages of provers in the standard output of runs, with kinds."""
-    df = C.parse_prover_log(_read(spark, sf_dir, "container_runs").where("stdout is not null"), ["run_id"], "stdout")
+    df = C.parse_prover_log(_wide(spark, sf_dir, "container_runs", "run_id", "stdout").where("stdout is not null"), ["run_id"], "stdout")
     return df.groupBy("severity", "kind").agg(F.count("*").alias("n"), F.sum("line").alias("line_sum"))
 
 

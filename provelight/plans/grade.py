@@ -20,7 +20,7 @@ from provelight import dims
 from provelight.functions.lean import binder_names, parse_column, parse_file
 from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
-from provelight.operators.classify import failure_mode, success_mode
+from provelight.operators.classify import error_messages, failure_mode, success_mode
 from provelight.operators.measure import add_statement, add_structure
 from provelight.operators.screen import add_interface_report, axiom_violations, label_parts
 from provelight.sources.folders import Policy, Submissions
@@ -146,11 +146,12 @@ def _measured(rows: DataFrame) -> DataFrame:
     incomplete = V.fault_kinds(F.col("faults"))[2] | F.exists(audit_rules, lambda a: a["r"] == "kernel.sorry_ax")
     unaudited = F.exists(audit_rules, lambda a: a["r"] == "kernel.audit_missing")
     errors = F.transform(F.coalesce("build.diagnostics", F.array().cast("array<struct<severity: string, message: string, line: int, column: int, kind: string>>")), lambda d: d.withField("severity", F.lit("error")))
-    observed = failure_mode(F.when(hacked, "rejected").otherwise("failed"), F.lit(None).cast("string"), errors, F.col("proof"), ~hacked)
+    rows = rows.withColumn("_messages", error_messages(errors))
+    observed = failure_mode(F.when(hacked, "rejected").otherwise("failed"), F.lit(None).cast("string"), F.col("_messages"), F.col("proof"), ~hacked)
     mode = F.when(F.col("solved"), F.lit(None).cast("string")).when(incomplete & ~hacked, "placeholder_left").when(unaudited & ~hacked, "harness_error").otherwise(observed)
     s = F.col("structure")
     success = success_mode(F.col("tactics"), s["named_steps"], s["term_mode"], s["auxiliary_declarations"], s["calc_blocks"])
-    return rows.withColumn("failure_mode", mode).withColumn("success_mode", F.when(F.col("solved"), success)).drop("statement")
+    return rows.withColumn("failure_mode", mode).withColumn("success_mode", F.when(F.col("solved"), success)).drop("statement", "_messages")
 
 
 @dataclass

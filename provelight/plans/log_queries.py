@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provelight.operators.logs import parse_logs
+from provelight.store import spread
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.read.parquet(f"{sf_dir}/container_runs.parquet")
-    return parse_logs(runs, "run_id", ["stdout", "stderr"], "started_at")
+    runs = spark.read.parquet(f"{sf_dir}/container_runs.parquet").select("run_id", "started_at", "stdout", "stderr")
+    return parse_logs(spread(runs), "run_id", ["stdout", "stderr"], "started_at")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provelight.operators.nested import entities, shred, shred_json
+from provelight.store import spread
 
 KEYS = ["source_table", "record_id"]
 COLUMNS = {"results": ["soundness", "diagnostics"], "verdicts": ["checks", "judge"]}
@@ -37,9 +38,9 @@ def adjacency(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("resu
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         keys = [F.lit(name).alias("source_table"), F.col("record_id")]
         if name == "wire_records":
-            part = shred_json(df, keys, "payload", unwrap="record", arrays=ARRAYS)
+            part = shred_json(df, keys, "payload", unwrap="record", arrays=ARRAYS, max_depth=5)  # a block lies four objects deep
         else:
-            part = shred(df, keys, COLUMNS[name])
+            part = shred(spread(df.select("record_id", *COLUMNS[name])), keys, COLUMNS[name])
         out = part if out is None else out.unionByName(part)
     return out
 

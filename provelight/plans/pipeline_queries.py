@@ -11,7 +11,7 @@ from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
 from provelight.plans import grade as G
 from provelight.sources.folders import Policy
-from provelight.store import shared_dir
+from provelight.store import shared_dir, spread
 from provelight.streaming import stage_log as T
 
 
@@ -59,7 +59,7 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     problems = tasks.select(F.col("task_id").alias("problem_id"), target.alias("source"))
     body = F.regexp_replace(F.coalesce("proof", F.lit("")), r"(?s)^\s*theorem.*?:=\s*", "")
     head = F.lit("import Mathlib\nnamespace Submission\ntheorem solution : Problem.Target := ")
-    answers = _read(spark, sf_dir, "attempts").where("model is not null").select(
+    answers = spread(_read(spark, sf_dir, "attempts").select("model", "record_id", "task_id", "proof")).where("model is not null").select(
         F.concat_ws("#", "model", F.col("record_id").cast("string")).alias("participant"),
         F.col("task_id").alias("problem_id"),
         F.concat(head, body, F.lit("\nend Submission\n")).alias("source"),

@@ -64,3 +64,13 @@ def _at_exit() -> None:
 
 
 atexit.register(_at_exit)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores.
+
+    For work that is bound by the processor over a table that is one small file.
+    A table with enough partitions, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

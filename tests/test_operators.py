@@ -156,15 +156,22 @@ def test_aggregates_of_nothing_and_of_constants(spark):
     assert (d["stdev"], d["median"], d["p90"], d["total"]) == (0.0, 5.0, 5.0, 5.0)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=6), max_size=6))
-def test_longest_run(spark, lists):
-    def slow(xs):
-        best = run = 0
-        for i, x in enumerate(xs):
-            run = run + 1 if i and xs[i - 1] == x else 1
-            best = max(best, run)
-        return best if best > 1 else 0
-
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
-    assert [r[0] for r in df.orderBy("i").select(M.longest_run(F.col("x"))).collect()] == [slow(x) for x in lists]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", " a", ""]), max_size=8), st.text(alphabet="([{)]}⟨⟩ ab1.", max_size=30))
+def test_scan_equals_counting(lines, more):
+    from provelight.functions.lean import scan
+
+    text = "\n".join(lines) + "\n" + more
+    full = [x.strip() for x in text.splitlines() if x.strip()]
+    best = run = 0
+    for i, x in enumerate(full):
+        run = run + 1 if i and full[i - 1] == x else 1
+        best = max(best, run)
+    depth = deepest = 0
+    for ch in text:
+        depth = depth + 1 if ch in dims.OPENERS else max(0, depth - 1) if ch in dims.CLOSERS else depth
+        deepest = max(deepest, depth)
+    tokens = re.findall(dims.TOKEN, text)
+    got = scan(text)
+    assert (got.run, got.brackets, got.tokens) == (best if best > 1 else 0, deepest, len(tokens))
+    assert got.trigrams == len({tuple(tokens[i : i + 3]) for i in range(len(tokens) - 2)})
