@@ -12,15 +12,21 @@ from provelight.llm.percentiles import parts, percentiles
 from provelight.llm.spans import shared_share, shared_spans
 from provelight.llm.terms import term_frequencies
 from provelight.llm.tokens import encode_corpus, token_counts
+from provelight.store import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents, over all cores where the table is one small file."""
+    return spread(_read(spark, sf_dir, "documents").select(*columns))
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of proofs and of invented names with its counts and its mark."""
-    proofs = _read(spark, sf_dir, "attempts").select(F.col("proof").alias("terms"))
+    proofs = spread(_read(spark, sf_dir, "attempts").select(F.col("proof").alias("terms")))
     names = _read(spark, sf_dir, "failure_stats").select(F.col("invented_names").alias("terms"))
     return (
         term_frequencies(proofs)
@@ -34,9 +40,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).where("mark is not null").select("field", "term", "mark")
 
 
+def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_read(spark, sf_dir, "attempts").select("record_id", "task_id", "model", "metadata", "proof"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts that are copies of one another but for their dress."""
-    return dress_copies(_read(spark, sf_dir, "attempts"), "record_id", "proof", ["task_id", "model"], ["metadata"])
+    return dress_copies(_proofs(spark, sf_dir), "record_id", "proof", ["task_id", "model"], ["metadata"])
 
 
 def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +62,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = _read(spark, sf_dir, "results").select(
         F.lit("results").alias("source_table"), "record_id", F.col("backend").alias("source"), F.posexplode("diagnostics").alias("position", "d")
     )
-    return attempts.unionByName(results.select("source_table", "record_id", "position", "source", F.col("d.message").alias("text")))
+    return spread(attempts).unionByName(spread(results).select("source_table", "record_id", "position", "source", F.col("d.message").alias("text")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,23 +95,23 @@ def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_corpus(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(_texts_of(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, or piece of a document beyond the capacity, with its container."""
-    sizes = token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = token_counts(_texts_of(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
     return pack(sizes, "doc_id", "n_tokens", 2048)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of text that stand in another document too."""
-    return shared_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return shared_spans(_texts_of(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document stands elsewhere."""
-    return shared_share(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return shared_share(_texts_of(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES = {
