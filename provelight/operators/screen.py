@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provelight import dims
-from provelight.functions.lean import foreign_attributes, parse_column, strip_comments_column, top_level_arguments
+from provelight.functions.lean import foreign_attributes, inherited_column, parse_column, strip_comments_column, top_level_arguments
 from provelight.functions.text import all_of, matches, strip
 
 _IMPORT = r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_.']*)"
@@ -64,12 +64,15 @@ def add_violations(
     classes: Sequence[str] = dims.HACK_CLASSES,
     allowed_imports: Sequence[str] | None = dims.ALLOWED_IMPORTS,
     subject: str = "proof",
+    baseline: Column | None = None,
 ) -> DataFrame:
     """Adds ``violations``, the labelled findings about a source in rule order.
 
     Each rule is tried only where its language fits and one of its literals
     occurs, so an honest text costs a few substring searches.  ``required`` is
     the statement the source must contain, NULL where that cannot be altered.
+    What a source shares with its ``baseline`` (the problem file) is no finding of
+    a rule: every match must be there as often, compared by whole logical lines.
     Null sources have no violations.
     """
     work = df.withColumn("_body", strip_comments_column(F.coalesce(F.col(source), F.lit("")), language))
@@ -84,6 +87,10 @@ def add_violations(
             near = near | low.contains(literal)
         found.append(F.when(language.isin(*languages) & near & matches(body, pattern), label(hack, rule, f"{subject} matches this rule")))
     arrays = [F.array(*found)] if found else []
+    if baseline is not None:
+        work = work.withColumn("_base", strip_comments_column(F.coalesce(baseline, F.lit("")), language))
+        work = work.withColumn("_kept", inherited_column(body, F.nullif("_base", F.lit(""))))
+        arrays = [F.filter(F.array(*found), lambda v: ~F.array_contains("_kept", label_parts(v)[1]))]
     if allowed_imports is not None and "new_axiom" in classes:
         odd = F.filter(all_of(body, _IMPORT, 1), lambda m: ~F.substring_index(m, ".", 1).isin(*allowed_imports))
         notes = F.transform(odd, lambda m: label("new_axiom", "lean.unknown_import", F.concat(F.lit(f"{subject} imports "), m)))
@@ -109,7 +116,7 @@ def add_violations(
         hits = F.filter(spaces, lambda s: ~s.isin("hiding", "renaming", "in") & F.array_contains(bare, F.substring_index(s, ".", -1)))
         note_ = lambda s: label("definition_shadowing", "lean.open_shadows_statement", F.concat(F.lit(f"{subject} opens "), s))
         arrays.append(F.when(asked, F.transform(hits, note_)).otherwise(F.array().cast("array<string>")))
-    return work.withColumn("violations", F.filter(F.concat(*arrays), lambda v: v.isNotNull())).drop("_body", "_low", "_req", "_names")
+    return work.withColumn("violations", F.filter(F.concat(*arrays), lambda v: v.isNotNull())).drop("_body", "_low", "_req", "_names", "_base", "_kept")
 
 
 def multiset_excess(theirs: DataFrame, base: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provelight import dims
@@ -221,6 +221,13 @@ def check_source(module: str, answer_module: str, target_parameters: int, gold:
     return f"import {module}\nimport {answer_module}\n\ntheorem checked : {goal} :=\n  {proof}\n\n#print axioms checked\n"
 
 
+def judge_prompt(informal: Column, formal: Column, rubric: str, gold: Column | None = None) -> Column:
+    """The text a judge is asked about a statement; a blank gold formalization is left out."""
+    part = lambda title, text: F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat(F.lit(f"{title}:\n"), text))
+    parts = [F.lit(rubric), part("Informal statement", informal), part("Formal statement", formal)]
+    return F.concat_ws("\n\n", *parts, *([part("Reference formalization", gold)] if gold is not None else []))
+
+
 def unreadable(source: str) -> list[str]:
     """What of a file is no declaration the reader knows."""
     return parse_file(source).unparsed

@@ -87,6 +87,28 @@ def test_statement_checks(spark):
         assert [re.match(dims.LABEL, v).group(2) for v in r["violations"]] == r["want"], r
 
 
+def test_what_a_source_inherited_is_no_finding(spark):
+    base = "variable (N : Nat)\n  (M : Nat)\naxiom old : True"
+    data = [
+        ("variable (N : Nat)\n   (M : Nat)\ntheorem t : x := y", base, []),
+        ("variable (h : False)\ntheorem t : x := y", base, ["lean.variable_injection"]),
+        ("variable (N : Nat) (M : Nat)\nvariable (N : Nat) (M : Nat)", base, ["lean.variable_injection"]),
+        ("axiom old : True\nopaque f : Nat", base, ["lean.opaque"]),
+        ("axiom old : True", None, ["lean.axiom"]),
+    ]
+    df = spark.createDataFrame(data, "src string, base string, want array<string>")
+    for r in S.add_violations(df, "src", F.lit("lean4"), None, baseline=F.col("base")).collect():
+        assert [re.match(dims.LABEL, v).group(2) for v in r["violations"]] == r["want"], r
+
+
+def test_judge_prompt(spark):
+    from provelight.plans.grade import judge_prompt
+
+    df = spark.createDataFrame([("a", "b", " "), (None, "b", "g")], "i string, f string, g string")
+    got = [r[0] for r in df.select(judge_prompt(F.col("i"), F.col("f"), "R", F.col("g"))).collect()]
+    assert got[0] == "R\n\nInformal statement:\na\n\nFormal statement:\nb" and got[1].endswith("formalization:\ng") and "Informal" not in got[1]
+
+
 def test_axioms_imports_and_multisets(spark):
     df = spark.createDataFrame([(["propext"],), (["sorryAx", "b", "b", "Lean.ofReduceBool"],), ([],), (None,)], "a array<string>")
     got = [r[0] for r in df.select(F.transform(S.axiom_violations(F.col("a")), lambda v: S.label_parts(v)[1])).collect()]
