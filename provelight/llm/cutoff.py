@@ -148,6 +148,8 @@ def _shape_verdicts(shapes: DataFrame) -> DataFrame:
 def _torn_words(ends: DataFrame) -> DataFrame:
     """(source_table, word, fin, torn) of every last word; torn ones are beginnings of longer words.
 
+    A word without a letter (a number, a full stop on its own) is never torn.
+
     Texts that end in no word have the word ''.  All last words are in the table,
     so that hot ones can be told apart before they are joined.
     """
@@ -163,7 +165,7 @@ def _torn_words(ends: DataFrame) -> DataFrame:
     both = last.join(longer, ["source_table", "word"], "left").join(whole, ["source_table", "word"], "left").join(n_texts, "source_table")
     full, ext = F.col("fin") + F.coalesce("whole", F.lit(0)), F.coalesce("ext", F.lit(0))
     torn = (ext > GOES_ON * (full + ext)) & (F.col("fin") < REGULAR * F.col("_texts"))
-    return both.select("source_table", "word", "fin", (torn & F.col("word").rlike("[^\\p{Nd}]")).alias("torn"))
+    return both.select("source_table", "word", "fin", (torn & F.col("word").rlike("\\p{L}")).alias("torn"))
 
 
 def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) -> DataFrame:
