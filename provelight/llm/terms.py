@@ -54,10 +54,10 @@ def count_terms(records: DataFrame, heavy: list[str]) -> DataFrame:
     slots = {t: i for i, t in enumerate(heavy)}
     known = records.sparkSession.sparkContext.broadcast(slots)
     as_map = _is_map(records)
-    schema = pa.schema([("term", pa.string()), ("slot", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64())])
+    schema = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
-    def rows(terms: list, slot: list, occurrences: list, n_records: list) -> pa.RecordBatch:
-        columns = zip(schema, (terms, slot, occurrences, n_records), strict=True)
+    def rows(terms: list, occurrences: list, n_records: list) -> pa.RecordBatch:
+        columns = zip(schema, (terms, occurrences, n_records), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in columns], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,22 +83,18 @@ def count_terms(records: DataFrame, heavy: list[str]) -> DataFrame:
                         light_occ[term] = occ(term, 0) + n
                         light_rec[term] = rec(term, 0) + 1
                 if len(light_occ) > HELD:
-                    yield rows(list(light_occ), [None] * len(light_occ), list(light_occ.values()), list(light_rec.values()))
+                    yield rows(list(light_occ), list(light_occ.values()), list(light_rec.values()))
                     light_occ.clear()
                     light_rec.clear()
         if light_occ:
-            yield rows(list(light_occ), [None] * len(light_occ), list(light_occ.values()), list(light_rec.values()))
-        used = [i for i, n in enumerate(heavy_rec) if n]
-        yield rows([None] * len(used), used, [heavy_occ[i] for i in used], [heavy_rec[i] for i in used])
-
-    counted = records.select("terms").mapInArrow(run, "term string, slot int, occurrences bigint, records bigint")
-    # One exchange for both tables: heavy rows are keyed by slot (one per task
-    # and term), light rows by term.
-    merged = counted.groupBy("slot", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    names = F.array(*[F.lit(t) for t in heavy]) if heavy else F.array().cast("array<string>")
-    return merged.select(
-        F.coalesce(F.col("term"), F.get(names, F.col("slot"))).alias("term"), "occurrences", "records"
-    )
+            yield rows(list(light_occ), list(light_occ.values()), list(light_rec.values()))
+        used = [(t, i) for t, i in slot_of.items() if heavy_rec[i]]
+        yield rows([t for t, _ in used], [heavy_occ[i] for _, i in used], [heavy_rec[i] for _, i in used])
+
+    counted = records.select("terms").mapInArrow(run, "term string, occurrences bigint, records bigint")
+    # Both tables leave the tasks as one and share an exchange: a heavy term has
+    # one row per task in it, a light one a row per time a task handed it on.
+    return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def term_frequencies(records: DataFrame, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
