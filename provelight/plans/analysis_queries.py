@@ -298,8 +298,34 @@ NAMES = (
 ).split()
 
 
+#: Sums and means of doubles depend on the order of the rows in their last digits, so these
+#: columns are rounded to six decimals, in the SQL twins too.
+_DISTRIBUTION = ("mean", "median", "stdev", "min", "p25", "p75", "p90", "max", "total")
+ROUNDED = {
+    "tactic_totals": ("mean_distinct", "mean_invocations"),
+    "tactic_positions": ("mean_position",),
+    "structure_stats": _DISTRIBUTION,
+    "time_distribution": _DISTRIBUTION,
+    "correlations": ("r", "mean_verified", "mean_failed"),
+    "success_stats": ("substantive_fraction", "automation_fraction"),
+    "first_error_position": ("mean_first_error_position",),
+    "sample_duplication": ("mean_duplicate_fraction",),
+    "usage_totals": ("estimated_cost_usd",),
+}
+
+
+def _rounded(name: str):
+    run, columns = globals()[name], ROUNDED[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, sf_dir).withColumns({c: F.round(c, 6) for c in columns})
+
+    query.__doc__ = run.__doc__
+    return query
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES}
+    return {name: _rounded(name) if name in ROUNDED else globals()[name] for name in NAMES}
 
 
 # --- SQL twins -------------------------------------------------------------------
@@ -334,6 +360,14 @@ _RT = lambda c: f"regexp_replace({c}, '{_SPACE}+$', '')"
 
 
 def oracle_sql() -> dict[str, str]:
+    twins = _twins()
+    for name, columns in ROUNDED.items():
+        replaced = ", ".join(f'round("{c}", 6) as "{c}"' for c in columns)
+        twins[name] = f"select * replace ({replaced}) from ({twins[name]})"
+    return twins
+
+
+def _twins() -> dict[str, str]:
     fallback = "case ek " + " ".join(f"when '{k}' then '{m}'" for k, m in dims.FAILURE_FALLBACK.items()) + " else 'unclassified' end"
     lines = "case when proof = '' then [] else regexp_split_to_array(regexp_replace(proof, '(\\r\\n|[\\n\\x{0B}\\f\\r\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}])\\z', ''), '\\r\\n|[\\n\\x{0B}\\f\\r\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]') end"
     code = f"list_filter(list_transform(ls, lambda x: {_STRIP('x')}), lambda x: x <> '')"
