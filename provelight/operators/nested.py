@@ -92,7 +92,8 @@ def _typed(value: Column, dtype: T.DataType, node: Column, parent: Column, label
         def entry(e: Column) -> Column:
             key = e["key"].cast("string")
             inner = _typed(e["value"], dtype.valueType, F.concat(node, F.lit("."), key), node, f"{label}.*", _none(), ordinal)
-            return F.transform(inner, lambda n: n.withField("label", F.concat(F.lit(label + "."), key)))
+            below = lambda n: F.substring(n["label"], len(label) + 3, 1 << 30)
+            return F.transform(inner, lambda n: n.withField("label", F.concat(F.lit(label + "."), key, below(n))))
 
         return F.when(
             value.isNotNull(), F.concat(own, F.flatten(F.transform(F.map_entries(value), entry)))

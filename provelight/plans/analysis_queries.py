@@ -353,7 +353,6 @@ _SPACE = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 _STRIP = lambda c: f"regexp_replace(regexp_replace({c}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 _FIRST_PROOF = "fp as (select attempt_id, arg_min(coalesce(proof, chr(0)), record_id) p from attempts group by attempt_id)"
 _MESSAGES = "array_to_string(list_transform(list_filter(diagnostics, lambda d: d is not null and d.severity = 'error'), lambda d: d.message), chr(10))"
-_COUNT = lambda c, p: f"len(regexp_extract_all({c}, '{_re2(p)}'))"
 _TRUNC = f"""(rt <> '' and (len(regexp_extract_all(rt, '[(\\[{{⟨⦃]')) > len(regexp_extract_all(rt, '[)\\]}}⟩⦄]'))
  or regexp_matches(rt, '{_re2(dims.TRUNCATED_TAIL)}')))"""
 _RT = lambda c: f"regexp_replace({c}, '{_SPACE}+$', '')"

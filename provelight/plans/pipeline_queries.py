@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
+from provelight.operators.measure import STATEMENT_FIELDS, STRUCTURE_FIELDS
 from provelight.plans import grade as G
 from provelight.sources.folders import Policy
 from provelight.store import shared_dir, spread
@@ -75,9 +76,8 @@ def graded_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graded_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of the measures of graded answers by outcome."""
     rows = graded(spark, sf_dir)
-    names = ("lines", "code_lines", "tokens", "named_steps", "local_dependency_depth", "cited_lemmas", "max_nesting_depth", "branch_points")
-    own = {n: F.col(f"structure.{n}") for n in names}
-    stated = {f"statement_{n}": F.col(f"statement_complexity.{n}") for n in ("binders", "hypotheses", "quantifiers", "total_tokens")}
+    own = {n: F.col(f"structure.{n}") for n in STRUCTURE_FIELDS}
+    stated = {f"statement_{n}": F.col(f"statement_complexity.{n}") for n in STATEMENT_FIELDS}
     return A.structure_stats(rows, own | stated, F.col("solved"), F.col("kernel") != "not_run")
 
 

@@ -49,6 +49,12 @@ def test_entities_pivot_and_cast(spark):
     assert [(r["ordinal"], r["value"]) for r in tags] == [(0, "t"), (2, "t")]
 
 
+def test_maps_of_objects(spark):
+    df = spark.createDataFrame([(1, {"k": (5, ["a", None]), "l": None})], "id int, m map<string, struct<x: int, tags: array<string>>>")
+    got = {(r["node"], r["label"], r["scalar"]) for r in shred(df, ["id"], ["m"]).collect()}
+    assert got == {("$.m", "m", None), ("$.m.k", "m.k", None), ("$.m.k.x", "m.k.x", "5"), ("$.m.k.tags[0]", "m.k.tags", "a")}
+
+
 def brute(value, arrays, label="", node="$", parent=None, depth=7):
     """Adjacency rows of a parsed value, as (node, parent, label, ordinal, kind)."""
     out = []
