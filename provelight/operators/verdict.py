@@ -74,6 +74,19 @@ def consensus(samples: Column) -> Column:
     return F.when(F.size(labels) == 0, F.lit(None).cast("string")).when(tie, "unsure").otherwise(F.get(order, F.lit(0))["label"])
 
 
+def consensus_rechecked(first: Column, again: Column) -> Column:
+    """The majority of the first samples, and of the further ones too where a first one rejects."""
+    more = F.when(F.array_contains(first, "unfaithful"), again)
+    return consensus(F.concat(first, F.coalesce(more, F.array().cast("array<string>"))))
+
+
+def agreeing_confidence(samples: Column, label: Column) -> Column:
+    """Mean confidence of the samples (struct<label, confidence>) that agree with the outcome; NULL if none says."""
+    same = F.filter(samples, lambda s: (s["label"] == label) & s["confidence"].isNotNull())
+    total = F.aggregate(same, F.lit(0.0), lambda acc, s: acc + s["confidence"])
+    return F.try_divide(total, F.size(same))
+
+
 def statement_summary(df: DataFrame, status: Column, checks: str) -> DataFrame:
     """(status, n, failed_checks, assessed): statements by status; assessed ones have a check that is not NULL."""
     failed = F.size(F.filter(checks, lambda c: c["passed"].eqNullSafe(F.lit(False))))

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provelight import dims
-from provelight.functions.lean import binder_names, parse_column, parse_file
+from provelight.functions.lean import binder_names, parse_column, parse_file, theorem_column
+from provelight.functions.text import rstrip
 from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
 from provelight.operators.classify import error_messages, failure_mode, success_mode
@@ -33,22 +34,30 @@ BUILD = (
 )
 #: participant, problem_id, source, module -> rows of BUILD
 Verifier = Callable[[DataFrame], DataFrame]
-_registry: dict[str, Callable[..., Verifier]] = {}
+#: rows with task_id, informal_statement, formal_statement, metadata -> the same with label
+Judge = Callable[[DataFrame], DataFrame]
 
 
-def register(name: str, factory: Callable[..., Verifier]) -> None:
-    """Make a verifier known by name."""
-    _registry[name] = factory
+class Registry:
+    """Factories by name."""
 
+    def __init__(self, kind: str):
+        self.kind, self.known = kind, {}
 
-def create(name: str, **options) -> Verifier:
-    if name not in _registry:
-        raise KeyError(f"no verifier {name!r}; known: {', '.join(available())}")
-    return _registry[name](**options)
+    def register(self, name: str, factory: Callable) -> None:
+        self.known[name] = factory
 
+    def create(self, name: str, **options):
+        if name not in self.known:
+            raise KeyError(f"no {self.kind} {name!r}; known: {', '.join(self.available())}")
+        return self.known[name](**options)
 
-def available() -> list[str]:
-    return sorted(_registry)
+    def available(self) -> list[str]:
+        return sorted(self.known)
+
+
+verifiers, judges = Registry("verifier"), Registry("judge")
+create, available = verifiers.create, verifiers.available
 
 
 def mock_verifier(seed: str = "provelight", pass_rate: float | None = None) -> Verifier:
@@ -71,8 +80,52 @@ def replay_verifier(builds: DataFrame) -> Verifier:
     return lambda answers: answers.select("participant", "problem_id").join(builds, ["participant", "problem_id"])
 
 
-register("mock", mock_verifier)
-register("replay", replay_verifier)
+def mock_judge(seed: str = "provelight", faithful_rate: float | None = None) -> Judge:
+    """Labels from metadata or markers, else by a stable draw; statements without prose are not judged (NULL)."""
+
+    def judge(tasks: DataFrame) -> DataFrame:
+        label = V.mock_judgement(F.col("formal_statement"), F.try_element_at("metadata", F.lit("mock_judge")), seed, faithful_rate)
+        prose = F.trim(F.coalesce("informal_statement", F.lit(""))) != ""
+        return tasks.withColumn("label", F.when(prose, F.nullif(label, F.lit("error"))))
+
+    return judge
+
+
+verifiers.register("mock", mock_verifier)
+verifiers.register("replay", replay_verifier)
+judges.register("mock", mock_judge)
+
+# What a probe tries on a goal.
+TRIVIAL_TACTICS = ("trivial", "rfl", "simp", "decide", "norm_num", "omega", "tauto")
+VACUITY_TACTICS = ("omega", "simp_all", "exact absurd rfl (by decide)", "linarith", "tauto")
+GOLD_TACTICS = "rfl | simp | tauto | constructor <;> intro h <;> simpa using h"
+
+
+def add_probes(tasks: DataFrame) -> DataFrame:
+    """Adds the texts that ask a prover about a statement, NULL where a question does not apply.
+
+    ``elaborates`` (the statement left open), ``trivial`` (cheap tactics close
+    it), ``vacuous`` (its hypotheses give False; needs binders), and
+    ``gold_equivalent`` (equivalent to ``gold_formal_statement`` over the same
+    binders).
+    """
+    work = tasks.withColumn("_t", theorem_column(F.col("formal_statement"))).withColumn("_g", theorem_column(F.col("gold_formal_statement")))
+    t, g = F.col("_t"), F.col("_g")
+    head = lambda name: F.concat(t["keyword"], F.lit(f" {name} "), F.when(t["binders"] != "", F.concat(t["binders"], F.lit(" "))).otherwise(""), F.lit(": "))
+    file = lambda body: F.concat(F.concat_ws("\n\n", F.nullif(rstrip(F.coalesce("header", F.lit(""))), F.lit("")), body), F.lit("\n"))
+    proof = lambda tactics: F.lit(f" := by\n  first | {tactics}")
+    whole = rstrip(F.col("formal_statement"))
+    left_open = F.when(whole.contains(":="), F.concat(whole, F.lit(" sorry"))).otherwise(F.concat(whole, F.lit(" := sorry")))
+    squeezed = lambda b: F.regexp_replace(b, r"\s+", " ")
+    both = F.concat(F.lit("("), t["conclusion"], F.lit(") ↔ ("), g["conclusion"], F.lit(")"))
+    ask = lambda when, body: F.when(when, file(body))
+    return work.select(
+        *tasks.columns,
+        ask(whole.isNotNull(), left_open).alias("elaborates"),
+        ask(t.isNotNull(), F.concat(head("trivial_probe"), t["conclusion"], proof(" | ".join(TRIVIAL_TACTICS)))).alias("trivial"),
+        ask(t["binders"] != "", F.concat(head("vacuous_probe"), F.lit("False"), proof(" | ".join(VACUITY_TACTICS)))).alias("vacuous"),
+        ask(squeezed(t["binders"]) == squeezed(g["binders"]), F.concat(head("gold_probe"), both, proof(GOLD_TACTICS))).alias("gold_equivalent"),
+    )
 
 
 def interface_problems(problems: DataFrame, strict: bool = True) -> DataFrame:

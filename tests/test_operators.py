@@ -148,6 +148,10 @@ def test_verdicts_keep_what_is_not_known(spark):
     assert got == [("inconclusive", "unprobed")] * 3 + [("ok", "clean"), ("unfaithful", "ungradeable"), ("unfaithful", "suspect")]
     votes = spark.createDataFrame([(["a", "b", "a"],), (["a", "b"],), ([None],), (None,)], "s array<string>")
     assert [r[0] for r in votes.select(V.consensus(F.col("s"))).collect()] == ["a", "unsure", None, None]
+    twice = spark.createDataFrame([(["faithful", "unfaithful", "unfaithful"], ["faithful", "faithful"]), (["faithful"], ["unfaithful"] * 3), (["unfaithful"], None)], "a array<string>, b array<string>")
+    assert [r[0] for r in twice.select(V.consensus_rechecked(F.col("a"), F.col("b"))).collect()] == ["faithful", "faithful", "unfaithful"]
+    sure = spark.createDataFrame([([("a", 0.5), ("a", None), ("b", 0.1), ("a", 1.0)],), ([],)], "s array<struct<label: string, confidence: double>>")
+    assert [r[0] for r in sure.select(V.agreeing_confidence(F.col("s"), F.lit("a"))).collect()] == [0.75, None]
     faults = "array<struct<fault: string, detail: string>>"
     rows = spark.createDataFrame([([], "verified", True), ([], "verified", None), ([], None, None), ([("x", "")], "verified", True), ([], "failed", None), ([], "verified", False)], f"f {faults}, b string, a boolean")
     none = F.array().cast("array<struct<stage: string, status: string>>")

@@ -106,6 +106,23 @@ def test_replayed_builds(spark, bench):
     assert rows["fails"]["refused_at"] is None and not rows["fails"]["solved"] and rows["fails"]["failure_mode"] == "harness_error"
 
 
+def test_probes_and_judges(spark):
+    data = [
+        ("a", "prose", "theorem t (n : ℕ) (h : 0 < n) : n = n := by", "lemma g (n : ℕ)  (h : 0 < n) : n ≤ n", "import Mathlib", None),
+        ("b", " ", "theorem u : True", None, None, {"mock_judge": "faithful"}),
+        ("c", "p", "def x := 1", None, "", {"mock_judge": "Unsure"}),
+        ("d", "p", None, None, "", None),
+    ]
+    df = spark.createDataFrame(data, "task_id string, informal_statement string, formal_statement string, gold_formal_statement string, header string, metadata map<string,string>")
+    got = {r["task_id"]: r for r in G.add_probes(df).collect()}
+    assert got["a"]["trivial"].startswith("import Mathlib\n\ntheorem trivial_probe (n : ℕ) (h : 0 < n) : n = n := by\n  first | trivial")
+    assert ": False :=" in got["a"]["vacuous"] and "(n = n) ↔ (n ≤ n)" in got["a"]["gold_equivalent"]
+    assert got["b"]["elaborates"] == "theorem u : True := sorry\n" and got["b"]["vacuous"] is None and got["b"]["gold_equivalent"] is None
+    assert got["c"]["trivial"] is None and got["d"]["elaborates"] is None
+    labels = {r["task_id"]: r["label"] for r in G.judges.create("mock")(df).collect()}
+    assert labels == {"a": "unsure", "b": None, "c": "unsure", "d": "unsure"}
+
+
 def test_command_line(spark, bench, capsys):
     base = [str(bench / "b"), str(bench / "s"), "--out", str(bench / "out")]
     assert cli.main(["grade", *base, "--strict", "--option", "pass_rate=0.5"]) == 5
