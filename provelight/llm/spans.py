@@ -16,9 +16,11 @@ agree on; ``plan`` checks that.
    anchor of some window).  Anchors with the same ``2 * MARGIN`` characters
    around them in two or more texts reveal candidates (first shuffle: one row
    of a few numbers per anchor).
-2. Windows of candidate anchors are fingerprinted and counted by text (second
-   shuffle).  A window that stands in two texts is shared; adjoining windows
-   are merged into spans.
+2. Candidate anchors whose windows cover equal content in two or more texts are
+   shared as a whole; one of these texts stands for all in the next step.
+3. Windows of the other candidates, and of those that stand for others, are
+   fingerprinted and counted by text (second shuffle).  A window that stands in
+   two texts is shared; adjoining windows are merged into spans.
 
 No texts and no pairs of texts are shuffled; a passage that stands in a third of
 all texts is one hot key, which is aggregated before the shuffle and met by a
@@ -30,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provelight.llm.hot import hot_join
@@ -144,7 +146,7 @@ class Windows:
             self.sums.append(sums)
             self.back.append(_powers(np.uint64(pow(int(base), -1, 1 << 64)), n))
 
-    def prints(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def prints(self, at: np.ndarray, length: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for sums, back in zip(self.sums, self.back, strict=True):
             h = (sums[at + length] - sums[at]) * back[at]
@@ -215,8 +217,8 @@ def _blocks(batches: Iterator, text_at: int = 1) -> Iterator[list[tuple]]:
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     import pyarrow as pa
 
-    names = ["id", "g1", "g2", "first", "last"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["id", "g1", "g2", "c1", "c2", "first", "last"]
+    types = [*[pa.int64()] * 5, pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
@@ -225,47 +227,53 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             if not len(number):
                 continue
             # A text shows the same grams again where it repeats itself; that is harmless.
-            g1, g2 = Windows(codes).prints(at[number] + pos - MARGIN, 2 * MARGIN)
+            windows = Windows(codes)
+            gram = windows.prints(at[number] + pos - MARGIN, 2 * MARGIN)
+            content = windows.prints(at[number] + first, last - first + length)
             ids = np.fromiter((i for i, _ in rows), np.int64, len(rows))[number]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, g1, g2, first, last), types, strict=True)], names)
+            columns = (ids, *gram, *content, first, last)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return texts.mapInArrow(run, "id bigint, g1 bigint, g2 bigint, first int, last int")
+    return texts.mapInArrow(run, "id bigint, g1 bigint, g2 bigint, c1 bigint, c2 bigint, first int, last int")
 
 
 def _window_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(id, p, w1, w2) of every window start in the ranges listed for a text."""
+    """(id, p, w1, w2, lo, hi) of every window start in the ranges listed for a text.
+
+    lo and hi are the smallest and largest id of the texts a range stands for.
+    """
     import pyarrow as pa
 
-    names = ["id", "p", "w1", "w2"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["id", "p", "w1", "w2", "lo", "hi"]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches):
             codes, _, at = _block([r[1] for r in rows])
-            ids, ps, where = [], [], []
+            ids, ps, where, lo, hi = [], [], [], [], []
             for k, (ident, _, ranges) in enumerate(rows):
                 for r in ranges:
                     p = np.arange(r["first"], r["last"] + 1)
                     ids.append(np.full(len(p), ident))
                     ps.append(p)
                     where.append(p + at[k])
-            where = np.concatenate(where)
-            w1, w2 = Windows(codes).prints(where, length)
-            columns = (np.concatenate(ids), np.concatenate(ps), w1, w2)
+                    lo.append(np.full(len(p), r["lo"]))
+                    hi.append(np.full(len(p), r["hi"]))
+            w1, w2 = Windows(codes).prints(np.concatenate(where), length)
+            columns = (np.concatenate(ids), np.concatenate(ps), w1, w2, np.concatenate(lo), np.concatenate(hi))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return texts.mapInArrow(run, "id bigint, p int, w1 bigint, w2 bigint")
+    return texts.mapInArrow(run, "id bigint, p int, w1 bigint, w2 bigint, lo bigint, hi bigint")
 
 
-def _shared(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """The keys that stand in two or more texts, with their number of rows."""
-    by = rows.groupBy(*key).agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count("*").alias("_n"))
-    return keep(by.where("_a <> _b").select(*key, "_n"), name)
+def _texts_by(rows: DataFrame, key: list[str], lo: str = "id", hi: str = "id") -> DataFrame:
+    """(key..., _lo, _hi, _n): smallest and largest text and number of rows of each key."""
+    return rows.groupBy(*key).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), F.count("*").alias("_n"))
 
 
-def _met(rows: DataFrame, shared: DataFrame, key: list[str]) -> DataFrame:
-    total = shared.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return hot_join(rows, shared, key, "_n", total)
+def _met(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    total = keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return hot_join(rows, keys, key, "_n", total)
 
 
 def shared_spans(df: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
@@ -279,19 +287,29 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 240) -> DataF
     plan(length)
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") >= length)
     grams = keep(_anchor_rows(texts, length), "anchors")
-    candidates = _met(grams, _shared(grams, ["g1", "g2"], "grams"), ["g1", "g2"])
-    ranges = candidates.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    common = keep(_texts_by(grams, ["g1", "g2"]).where("_lo <> _hi").select("g1", "g2", "_n"), "grams")
+    candidates = keep(_met(grams, common, ["g1", "g2"]).select("id", "c1", "c2", "first", "last"), "candidates")
+    contents = keep(_texts_by(candidates, ["c1", "c2"]), "contents")
+    marked = keep(_met(candidates, contents, ["c1", "c2"]).select("id", "first", "last", "_lo", "_hi"), "marked")
+    sure = marked.where("_lo <> _hi")
+    sought = marked.where("id = _lo").select("id", "first", "last", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    ranges = sought.groupBy("id").agg(F.collect_list(F.struct("first", "last", "lo", "hi")).alias("ranges"))
     windows = keep(_window_rows(texts.join(ranges, "id"), length), "windows")
-    hits = _met(windows, _shared(windows, ["w1", "w2"], "shared"), ["w1", "w2"])
-    # Adjoining windows become one span; a text's windows are bounded by its length.
-    runs = hits.groupBy("id").agg(F.array_sort(F.collect_set("p")).alias("p"))
-    opens = F.filter("p", lambda x, i: (i == 0) | (x > F.get(F.col("p"), i - 1) + length))
-    closes = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get(F.col("p"), i + 1) > x + length))
-    spans = runs.select("id", F.explode(F.arrays_zip(opens.alias("o"), closes.alias("c"))).alias("s"))
+    shared = keep(_texts_by(windows, ["w1", "w2"], "lo", "hi").where("_lo <> _hi").select("w1", "w2", "_n"), "shared")
+    hits = _met(windows.select("id", "p", "w1", "w2"), shared, ["w1", "w2"])
+    # Stretches that touch or overlap become one span; a text's are bounded by its length.
+    parts = hits.select("id", F.col("p").alias("s"), (F.col("p") + length).alias("e")).unionByName(
+        sure.select("id", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    )
+    by = Window.partitionBy("id").orderBy("s", "e")
+    before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opened = parts.withColumn("_new", F.coalesce(F.col("s") > before, F.lit(True)).cast("int"))
+    islands = opened.withColumn("_k", F.sum("_new").over(by))
+    spans = islands.groupBy("id", "_k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     return spans.select(
         F.col("id").cast(df.schema[key].dataType).alias(key),
-        F.col("s.o").cast("int").alias("span_start"),
-        (F.col("s.c") + length).cast("int").alias("span_end"),
+        F.col("s").cast("int").alias("span_start"),
+        F.col("e").cast("int").alias("span_end"),
     )
 
 

@@ -265,6 +265,16 @@ def test_spans_equal_brute_force(spark, alphabet):
     assert got == brute_spans(rows, 240)
 
 
+def test_spans_of_a_passage_twice_in_the_text_that_stands_for_others(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    whole = text(900)
+    rows = [(1, text(90) + whole + text(70) + whole[200:520] + text(60)), (2, text(50) + whole + text(40)), (3, text(44) + whole[300:610] + text(9))]
+    rows += [(4, whole[250:495]), (5, text(300) + whole[655:895] + text(300))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in S.shared_spans(df, "doc_id", "text").collect()} == brute_spans(rows, 240)
+
+
 def test_spans_of_nothing_and_shares(spark):
     df = spark.createDataFrame([(1, "abc" * 100), (2, "abc" * 100), (3, None)], "doc_id bigint, text string")
     got = {(r["doc_id"], r["n_chars"], r["shared_chars"], r["share"]) for r in S.shared_share(df, "doc_id", "text").collect()}
