@@ -170,7 +170,7 @@ def statement_complexity(spark, sf_dir):
 
 def assembled_sources(spark, sf_dir):
     t = _read(spark, sf_dir, "tasks").select("task_id", "formal_statement", "header", "assembly")
-    a = _read(spark, sf_dir, "attempts").select("record_id", "task_id", "proof")
+    a = _wide(spark, sf_dir, "attempts", "record_id", "task_id", "proof")
     source = M.assembled_source(F.col("formal_statement"), F.col("header"), F.col("proof"), F.col("assembly"))
     return a.join(t, "task_id").select("record_id", F.sha2(source, 256).alias("content_hash"), F.length(source).alias("chars"))
 
