@@ -252,10 +252,15 @@ def hack_histogram(df: DataFrame, violations: str) -> DataFrame:
     return rows.groupBy("class", "rule").agg(F.count("*").alias("n"))
 
 
-def index_attempts(df: DataFrame, task: str, ordinal: str, value: Column) -> DataFrame:
-    """(task, attempts): the attempts of each task in their order, for tasks of bounded size."""
+def index_attempts(df: DataFrame, task: str, ordinal: str, value: Column, width: int = 10_000) -> DataFrame:
+    """(task, chunk, attempts): the attempts of each task in their order, ``width`` ordinals a chunk.
+
+    Ordinals are unique bigints, so no chunk holds more than ``width`` attempts,
+    however many a task has; chunks of a task are in order of ``chunk``.
+    """
+    chunk = F.floor(F.col(ordinal) / width).cast("bigint").alias("chunk")
     both = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), value.alias("v"))))
-    return df.groupBy(task).agg(F.transform(both, lambda x: x["v"]).alias("attempts"))
+    return df.groupBy(task, chunk).agg(F.transform(both, lambda x: x["v"]).alias("attempts"))
 
 
 def duplicate_names(declarations: DataFrame, file: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ NULL means "not established" and is never turned into a pass or a failure.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provelight import dims
@@ -54,9 +54,15 @@ def stage_reached(stages: Column) -> Column:
 
 
 def latest_stages(events: DataFrame, keys: list[str], stage: str, ordinal: list[str]) -> DataFrame:
-    """The last event of each key and stage; ordinals break ties from left to right."""
-    by = Window.partitionBy(*keys, stage).orderBy(*[F.desc(o) for o in ordinal])
-    return events.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    """The last event of each key and stage; ordinals break ties from left to right.
+
+    An aggregate with a map-side half: a key with a third of all events sends
+    one row per task.
+    """
+    by = [*keys, stage]
+    rest = [c for c in events.columns if c not in by]
+    last = F.max_by(F.struct(*rest), F.struct(*ordinal)).alias("_last")
+    return events.groupBy(*by).agg(last).select(*[c if c in by else F.col("_last")[c].alias(c) for c in events.columns])
 
 
 def statement_status(checks: Column) -> Column:

@@ -101,9 +101,9 @@ def sample_duplication(spark, sf_dir):
 
 
 def index_attempts(spark, sf_dir):
-    """The attempts of every task in order (per task as many as were drawn)."""
+    """The attempts of every task in order, in chunks of bounded size."""
     df = A.index_attempts(_read(spark, sf_dir, "attempts"), "task_id", "record_id", F.col("attempt_id"))
-    return df.select("task_id", F.array_join("attempts", ",").alias("attempts"))
+    return df.select("task_id", "chunk", F.array_join("attempts", ",").alias("attempts"))
 
 
 def error_kinds(spark, sf_dir):
@@ -412,7 +412,7 @@ def _twins() -> dict[str, str]:
         "sample_duplication": f"""with t as (select task_id, count(*) n, count(distinct coalesce({_STRIP('proof')}, '')) d from attempts group by task_id having count(*) > 1)
  select count(*) tasks_with_multiple_samples, count(*) filter (d < n) tasks_with_duplicates, count(*) filter (d = 1) tasks_all_identical,
  avg(1 - d / n) mean_duplicate_fraction, avg(1 - d / n) >= 0.25 or count(*) filter (d = 1) > 0 undermines_pass_at_k from t""",
-        "index_attempts": "select task_id, string_agg(attempt_id, ',' order by record_id) attempts from attempts group by task_id",
+        "index_attempts": "select task_id, record_id // 10000 chunk, string_agg(attempt_id, ',' order by record_id) attempts from attempts group by task_id, record_id // 10000",
         "error_kinds": f"""select d.kind recorded, {_cases('d.message', dims.ERROR_KINDS, "'unknown'")} "found", count(*) n
  from (select unnest(diagnostics) d from results) where d.message is not null group by 1, 2""",
         "failure_modes": f"""with {_FIRST_PROOF}, b as (select record_id, status, error_kind ek, coalesce(soundness.ok, true) ok, coalesce({_MESSAGES}, '') msg,
