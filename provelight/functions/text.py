@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _W = r"[\p{L}\p{N}_]"
-SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x85\xa0  -     　"
-LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]"
+SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:

@@ -13,7 +13,7 @@ from provelight.operators import measure as M
 from provelight.operators import screen as S
 from provelight.operators import verdict as V
 
-ODD = ["", " ", "a", "by simp", "a\nb\r\n\nc d", "h₁simp simp", "αsimp Set.decide x' decide", "(a [b {c} ⟨d⟩)) (", "x := 1 + ", "﻿x", "-- c\n/- a\n-/ have h : p := q", "by\n  exact ⟨h, rfl⟩"]
+ODD = ["", " ", "a", "by simp", "a\nb\r\n\nc\u2028d", "h₁simp simp", "αsimp Set.decide x' decide", "(a [b {c} ⟨d⟩)) (", "x := 1 + ", "\ufeffx", "-- c\n/- a\n-/ have h : p := q", "by\n  exact ⟨h, rfl⟩"]
 
 
 def column(spark, texts, expr):
