@@ -29,6 +29,29 @@ TABLES = {
     "p1_calls": ("judge.raw", {"call_id": "string", "model": "string"}),
     "p1_blocks": ("judge.raw.blocks", {"type": "string", "body": "string"}),
 }
+#: The tables over every source that can hold the label, wire_records included, with all dealt fields.
+ALL_TABLES = {
+    "p1_all_checks": TABLES["p1_checks"],
+    "p1_all_diagnostics": TABLES["p1_diagnostics"],
+    "p1_all_soundness": ("soundness", {"ok": "boolean"}),
+    "p1_all_violations": ("soundness.violations", {}),
+    "p1_all_judges": TABLES["p1_judges"],
+    "p1_all_samples": ("judge.samples", {}),
+    "p1_all_usage": (
+        "judge.usage",
+        {
+            "input_tokens": "bigint",
+            "output_tokens": "bigint",
+            "cache_read_input_tokens": "bigint",
+            "cache_creation_input_tokens": "bigint",
+            "calls": "int",
+            "estimated_cost_usd": "double",
+            "model": "string",
+        },
+    ),
+    "p1_all_calls": TABLES["p1_calls"],
+    "p1_all_blocks": TABLES["p1_blocks"],
+}
 
 
 def adjacency(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("results", "verdicts", "wire_records")) -> DataFrame:
@@ -72,12 +95,28 @@ def _table(query: str):
         rows = entities(adjacency(spark, sf_dir, source), KEYS, label, fields)
         return rows.drop("value", "source_table")
 
-    run.__doc__ = f"Entity table of {label}: one row per object, its scalar fields as columns."
+    run.__doc__ = f"Entity table of {label} in {'results' if label == 'diagnostics' else 'verdicts'} alone: one row per object, its scalar fields as columns."
+    return run
+
+
+def _all_table(query: str):
+    label, fields = ALL_TABLES[query]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        typed = "results" if label.split(".")[0] in COLUMNS["results"] else "verdicts"
+        return entities(adjacency(spark, sf_dir, (typed, "wire_records")), KEYS, label, fields)
+
+    run.__doc__ = f"""Entity table of {label} over every source that can hold it.
+
+    One row per value with its source_table, record, node and parent node.
+    ``value`` is the text of a value that is no object (a violation, a sample, a
+    payload's bare value in place of an object), NULL for objects.
+    """
     return run
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, **{name: _table(name) for name in TABLES}}
+    return {"p1_found": p1_found, **{name: _table(name) for name in TABLES}, **{name: _all_table(name) for name in ALL_TABLES}}
 
 
 _WIRE = """wire as (
