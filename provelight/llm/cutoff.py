@@ -1,6 +1,9 @@
 """Texts that lost their end, and how often each source loses it.
 
-Three kinds of evidence, all counted over all texts:
+Three kinds of evidence, counted over pieces and judged for every row.  A piece
+is a text of one origin: what is delivered again or copied within its origin is no
+evidence for itself, while a message that many origins bring forth on their own is.
+Without an origin every distinct text is one piece:
 
 * **Limits.**  Per source, and for lengths in characters and in UTF-8 bytes, the
   discrete hazard of a length (texts that end there among those that reach it)
@@ -77,6 +80,7 @@ def _endings(texts: DataFrame) -> DataFrame:
         "record_id",
         "position",
         "source",
+        "origin",
         "_t",
         "_lines",
         F.element_at("_lines", -1).alias("shape"),
@@ -89,19 +93,41 @@ def _endings(texts: DataFrame) -> DataFrame:
     )
 
 
-def _shape_table(ends: DataFrame) -> DataFrame:
-    """(source_table, ctx, shape, fin, inner): how often each line stands last and elsewhere."""
+def _once(ends: DataFrame) -> DataFrame:
+    """(source_table, _t, _lines, word) of one row for each distinct content and origin (``piece``) of a table.
+
+    The rows that are kept are found by an aggregate over two hashes, so copies
+    meet in its map-side half; the join that takes them has a key of its own for
+    each row, however many copies a text has.
+    """
+    named = ends.withColumn("_row", F.xxhash64("record_id", "position"))
+    first = named.groupBy("source_table", "piece").agg(F.min("_row").alias("_row")).select("source_table", "_row")
+    return named.join(first, ["source_table", "_row"], "left_semi").select("source_table", "_t", "_lines", "word")
+
+
+def _last_ones(ends: DataFrame, key: list[str]) -> DataFrame:
+    """(source_table, key..., fin, rows): pieces and rows that end so."""
+    each = ends.groupBy("source_table", *key, "piece").agg(F.count("*").alias("_n"))
+    return each.groupBy("source_table", *key).agg(F.count("*").alias("fin"), F.sum("_n").alias("rows"))
+
+
+def _shape_table(ends: DataFrame, once: DataFrame) -> DataFrame:
+    """(source_table, ctx, shape, fin, inner, rows): how often each line stands last and elsewhere.
+
+    fin and inner count a piece once; rows counts every text that ends so.
+    """
     n = F.size("_lines")
+    inner = F.slice("_lines", F.lit(1), n - 1)
     each = F.transform(
-        "_lines",
+        inner,
         lambda s, i: F.struct(
-            F.xxhash64(F.when(i > 0, F.get(F.col("_lines"), i - 1)).otherwise("")).alias("ctx"), s.alias("shape"), (i == n - 1).alias("last")
+            F.xxhash64(F.when(i > 0, F.get(F.col("_lines"), i - 1)).otherwise("")).alias("ctx"), s.alias("shape")
         ),
     )
-    rows = ends.select("source_table", F.explode(each).alias("l")).select("source_table", "l.*")
-    return rows.groupBy("source_table", "ctx", "shape").agg(
-        F.sum(F.col("last").cast("bigint")).alias("fin"), F.sum((~F.col("last")).cast("bigint")).alias("inner")
-    )
+    lines = once.select("source_table", F.explode(each).alias("l")).select("source_table", "l.*")
+    lines = lines.groupBy("source_table", "ctx", "shape").agg(F.count("*").alias("inner")).withColumns({"fin": F.lit(0), "rows": F.lit(0)})
+    both = lines.unionByName(_last_ones(ends, ["ctx", "shape"]).withColumn("inner", F.lit(0)))
+    return both.groupBy("source_table", "ctx", "shape").agg(*[F.sum(c).alias(c) for c in ("fin", "inner", "rows")])
 
 
 def _longer(shapes: DataFrame, key: list[str]) -> DataFrame:
@@ -117,7 +143,7 @@ def _longer(shapes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _shape_verdicts(shapes: DataFrame) -> DataFrame:
-    """(source_table, ctx, shape, fin, broken) of every line that stands last somewhere."""
+    """(source_table, ctx, shape, rows, broken) of every line that stands last somewhere."""
     alone = shapes.groupBy("source_table", "shape").agg(F.sum("fin").alias("fin"), F.sum("inner").alias("inner"))
     finals = alone.where("fin > 0").withColumn("_base", F.regexp_replace("shape", _SIGN, ""))
     finals = finals.withColumn("_signed", F.col("_base") != F.col("shape"))
@@ -142,11 +168,11 @@ def _shape_verdicts(shapes: DataFrame) -> DataFrame:
     full = F.col("fin") + F.col("inner")
     whole_here = (full >= KNOWN) & (F.col("ext") <= GOES_ON * (full + F.col("ext"))) & (F.col("fin") >= SELDOM_LAST * full)
     broken = F.when((F.col("kind") == "goes_on") & whole_here, None).otherwise(F.col("kind"))
-    return near.select("source_table", "ctx", "shape", "fin", broken.alias("broken"))
+    return near.select("source_table", "ctx", "shape", "rows", broken.alias("broken"))
 
 
-def _torn_words(ends: DataFrame) -> DataFrame:
-    """(source_table, word, fin, torn) of every last word; torn ones are beginnings of longer words.
+def _torn_words(ends: DataFrame, once: DataFrame) -> DataFrame:
+    """(source_table, word, rows, torn) of every last word; torn ones are beginnings of longer words.
 
     A word without a letter (a number, a full stop on its own) is never torn.
 
@@ -154,18 +180,18 @@ def _torn_words(ends: DataFrame) -> DataFrame:
     so that hot ones can be told apart before they are joined.
     """
     inside = F.left("_t", F.length("_t") - F.length("word"))
-    all_words = ends.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]++"))).alias("word"))
+    all_words = once.select("source_table", F.explode(F.array_distinct(F.split(inside, "[^\\p{L}\\p{N}_.]++"))).alias("word"))
     whole = keep(all_words.where("word <> ''").groupBy("source_table", "word").agg(F.count("*").alias("whole")), "vocabulary")
-    last = ends.groupBy("source_table", "word").agg(F.count("*").alias("fin"))
+    last = _last_ones(ends, ["word"])
     starts = whole.where((F.col("whole") >= KNOWN) & (F.length("word") > 1)).select(
         "source_table", "whole", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("_k")
     )
     longer = starts.groupBy("source_table", F.expr("substring(word, 1, _k)").alias("word")).agg(F.sum("whole").alias("ext"))
-    n_texts = F.broadcast(ends.groupBy("source_table").agg(F.count("*").alias("_texts")))
+    n_texts = F.broadcast(once.groupBy("source_table").agg(F.count("*").alias("_texts")))
     both = last.join(longer, ["source_table", "word"], "left").join(whole, ["source_table", "word"], "left").join(n_texts, "source_table")
     full, ext = F.col("fin") + F.coalesce("whole", F.lit(0)), F.coalesce("ext", F.lit(0))
     torn = (ext > GOES_ON * (full + ext)) & (F.col("fin") < REGULAR * F.col("_texts"))
-    return both.select("source_table", "word", "fin", (torn & F.col("word").rlike("\\p{L}")).alias("torn"))
+    return both.select("source_table", "word", "rows", (torn & F.col("word").rlike("\\p{L}")).alias("torn"))
 
 
 def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) -> DataFrame:
@@ -197,19 +223,25 @@ def length_limits(lengths: DataFrame, alpha: float = ALPHA, near: int = NEAR) ->
 def cut_texts(texts: DataFrame) -> DataFrame:
     """(source_table, record_id, position, source, reason) of texts that lost their end.
 
-    ``texts`` has (source_table, record_id, position, source, text).  Null and
+    ``texts`` has (source_table, record_id, position, source, text) and may have
+    origin: equal texts of one origin are copies, of two origins they are not;
+    without it, or where it is null, all equal texts are copies.  Null and
     blank texts have no end to lose.  reason: ``sign``, ``goes_on``, ``seldom``,
     ``word``, ``fence`` or ``limit``.  A null source counts as one source.
     """
     texts = texts.withColumn("source", F.coalesce("source", F.lit("")))
-    ends = keep(_endings(texts), "ends")
+    if "origin" not in texts.columns:
+        texts = texts.withColumn("origin", F.lit(None).cast("string"))
+    ends = _endings(texts).withColumn("piece", F.xxhash64("same", "origin")).drop("origin")
+    ends = keep(ends, "ends")
     totals = ends.count()
-    verdicts = keep(_shape_verdicts(keep(_shape_table(ends), "shapes")), "verdicts")
-    torn = keep(_torn_words(ends), "torn")
+    once = keep(_once(ends), "once")
+    verdicts = keep(_shape_verdicts(keep(_shape_table(ends, once), "shapes")), "verdicts")
+    torn = keep(_torn_words(ends, once), "torn")
     ident = ["source_table", "record_id", "position", "source"]
     small = ends.select(*ident, "ctx", "shape", "word", "chars", "bytes", "same", "fence")
-    met = hot_join(small, verdicts, ["source_table", "ctx", "shape"], "fin", totals)
-    met = hot_join(met, torn, ["source_table", "word"], "fin", totals)
+    met = hot_join(small, verdicts, ["source_table", "ctx", "shape"], "rows", totals)
+    met = hot_join(met, torn, ["source_table", "word"], "rows", totals)
     reason = F.coalesce("broken", F.when(F.col("torn"), "word"), F.when(F.col("fence"), "fence"))
     judged = keep(met.select(*ident, "chars", "bytes", "same", reason.alias("reason")), "judged")
     # Limits, in both units at once.

@@ -56,13 +56,15 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs and messages.  Equal proofs of one task and equal messages of one attempt are copies."""
     attempts = _read(spark, sf_dir, "attempts").select(
-        F.lit("attempts").alias("source_table"), "record_id", F.lit(-1).alias("position"), F.col("model").alias("source"), F.col("proof").alias("text")
-    )
+        F.lit("attempts").alias("source_table"), "record_id", F.lit(-1).alias("position"), F.col("model").alias("source"),
+        F.col("task_id").alias("origin"), F.col("proof").alias("text"),
+    )
     results = _read(spark, sf_dir, "results").select(
-        F.lit("results").alias("source_table"), "record_id", F.col("backend").alias("source"), F.posexplode("diagnostics").alias("position", "d")
+        F.lit("results").alias("source_table"), "record_id", F.col("backend").alias("source"), F.col("attempt_id").alias("origin"), F.posexplode("diagnostics").alias("position", "d")
     )
-    return spread(attempts).unionByName(spread(results).select("source_table", "record_id", "position", "source", F.col("d.message").alias("text")))
+    return spread(attempts).unionByName(spread(results).select("source_table", "record_id", "position", "source", "origin", F.col("d.message").alias("text")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

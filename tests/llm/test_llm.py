@@ -106,6 +106,24 @@ def test_cut_texts(spark):
     assert cut_texts(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    whole = proofs(3000)
+    copied = next(t for t in proofs(50, 9) if "foo_bar_" in t)
+    copied = copied[: copied.index("foo_bar_") + 6]
+    # The message '[n] failed' stands alone in many origins and is the beginning of longer lines, too.
+    longer = [(f"failed to find {i}", f"o{i}") for i in range(900)]
+    rows = [("t", i, -1, "s", t, f"o{i}") for i, t in enumerate(whole)]
+    rows += [("t", 10_000 + i, -1, "s", copied, "o1") for i in range(1500)]
+    rows += [("t", 20_000 + i, -1, "s", *x) for i, x in enumerate(longer)]
+    rows += [("t", 30_000 + i, -1, "s", "failed", f"o{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "source_table string, record_id bigint, position int, source string, text string, origin string")
+    got = {r["record_id"] for r in cut_texts(df).collect()}
+    assert {10_000 + i for i in range(1500)} <= got
+    assert len(got) <= 1500 + 0.02 * len(whole)
+    without = {r["record_id"] for r in cut_texts(df.drop("origin").where("record_id < 20000")).collect()}
+    assert {10_000 + i for i in range(1500)} <= without
+
+
 def test_length_limits(spark):
     rng = random.Random(3)
     n = Counter(min(200, int(rng.gauss(150, 40))) for _ in range(4000))
