@@ -53,15 +53,18 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt as an answer file, graded against its task as a frozen target."""
+    """Every attempt as an answer file, graded against its task as a frozen target.
+
+    An attempt whose model is null takes part as ``(no model)``.
+    """
     tasks = _read(spark, sf_dir, "tasks").select("task_id", "formal_statement")
     claim = F.regexp_replace("formal_statement", r"^\s*theorem\s+\S+\s*", "")
     target = F.concat(F.lit("namespace Problem\ndef Target : Prop := ∀ "), F.regexp_replace(claim, r"\) :", "),"), F.lit("\nend Problem\n"))
     problems = tasks.select(F.col("task_id").alias("problem_id"), target.alias("source"))
     body = F.regexp_replace(F.coalesce("proof", F.lit("")), r"(?s)^\s*theorem.*?:=\s*", "")
     head = F.lit("import Mathlib\nnamespace Submission\ntheorem solution : Problem.Target := ")
-    answers = spread(_read(spark, sf_dir, "attempts").select("model", "record_id", "task_id", "proof")).where("model is not null").select(
-        F.concat_ws("#", "model", F.col("record_id").cast("string")).alias("participant"),
+    answers = spread(_read(spark, sf_dir, "attempts").select("model", "record_id", "task_id", "proof")).select(
+        F.concat_ws("#", F.coalesce("model", F.lit("(no model)")), F.col("record_id").cast("string")).alias("participant"),
         F.col("task_id").alias("problem_id"),
         F.concat(head, body, F.lit("\nend Submission\n")).alias("source"),
     )
