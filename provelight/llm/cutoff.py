@@ -20,7 +20,9 @@ Without an origin every distinct text is one piece:
 * **Signs.**  An ellipsis or a note put in place of the rest, unless lines like
   this one regularly carry it.
 
-Rates, not counts, decide, so the rules behave alike at every size.
+Rates decide, but only with a minimum support: a line or word is known from ``KNOWN``
+occurrences and ``seldom`` needs ``SEEN``, so the same rates at another size can give
+other flags.
 """
 
 from __future__ import annotations
