@@ -71,8 +71,8 @@ def adjacency(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("resu
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child that is not null, with its place and that of its parent.
 
-    One entity aggregate over the adjacency table: an entity is a node with one
-    of the seven labels, and its scalar children meet it there.
+    One aggregate over the adjacency table: an entity is a node with one of the
+    seven labels.  Positions only; the scalar children meet it in ``entities``.
     """
     adj = adjacency(spark, sf_dir)
     labels = {label: child for child, label, _ in CHILDREN}
