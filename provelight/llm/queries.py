@@ -55,6 +55,17 @@ def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("keep_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
+def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, n_copies): one row for each record that remains, 1 for singles.
+
+    A proof that is null or has nothing left is no copy of another: its record remains with 1.
+    """
+    found = p3_found(spark, sf_dir)
+    kept = found.groupBy(F.col("keep_id").alias("record_id")).agg((F.count("*") + 1).alias("n"))
+    rest = _read(spark, sf_dir, "attempts").select("record_id").join(found.select(F.col("copy_id").alias("record_id")), "record_id", "left_anti")
+    return rest.join(kept, "record_id", "left").select("record_id", F.coalesce("n", F.lit(1)).alias("n_copies"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs and messages.  Equal proofs of one task and equal messages of one attempt are copies."""
     attempts = _read(spark, sf_dir, "attempts").select(
@@ -121,6 +132,7 @@ QUERIES = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_copies": p3_copies,
+    "p3_collapsed": p3_collapsed,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_percentiles": p6_percentiles,

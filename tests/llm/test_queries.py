@@ -68,3 +68,10 @@ def test_spans(spark, documents):
 def test_cut_rates_sum_up(spark):
     found = Q.p5_found(spark, str(DATA)).count()
     assert sum(r["n_cut"] for r in Q.p5_rates(spark, str(DATA)).collect()) == found
+
+
+def test_collapsed_attempts_are_whole(spark, tmp_path):
+    rows = [(1, "t", "m", None, "a b"), (2, "t", "m", None, "A (b)"), (3, "t", "m", None, "c"), (4, "t", "m", None, None), (5, "t", "m", None, " ")]
+    schema = "record_id bigint, task_id string, model string, metadata map<string,string>, proof string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/attempts.parquet")
+    assert {tuple(r) for r in Q.queries()["p3_collapsed"](spark, str(tmp_path)).collect()} == {(1, 2), (3, 1), (4, 1), (5, 1)}
