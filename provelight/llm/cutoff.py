@@ -9,10 +9,11 @@ Without an origin every distinct text is one piece:
   discrete hazard of a length (texts that end there among those that reach it)
   is computed with window functions and tested against the hazard of the
   neighbouring lengths; a Benjamini-Hochberg bound keeps the share of false
-  discoveries below ``ALPHA``.  Copies of one text count once.  At a significant
-  length incomplete endings are flagged; and if most texts that reach it end
-  there, most of them incomplete, so are the other texts of that length, where
-  they outnumber what the neighbours lead one to expect twice.
+  discoveries below ``ALPHA``.  Copies of one text count once.  If most
+  texts that reach a significant length end there, most of them incomplete, the
+  other texts of that length are flagged, too, where they outnumber what the
+  neighbours lead one to expect twice.  Other significant lengths are not used;
+  incomplete endings and signs are flagged at any length.
 * **Endings.**  An ending is incomplete if its line, with names and numbers
   masked, nearly always goes on where it occurs (the hazard of a line end at this
   point is tiny), or if the line nearly never is the last one of a text, or if
