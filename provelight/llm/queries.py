@@ -98,6 +98,14 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.get_json_object("group", "$.backend").alias("backend"), "metric", "n", "quantile", "value")
 
 
+def p6_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of both times per backend and day of arrival: what the parts say before they are combined."""
+    results = _read(spark, sf_dir, "results").withColumn("day", F.date_format("ingested_at", "yyyy-MM-dd"))
+    found = percentiles(parts(results, ["backend", "day"], ["wall_time_s", "compile_time_s"]), QUANTILES)
+    names = [F.get_json_object("group", f"$.{c}").alias(c) for c in ("backend", "day")]
+    return found.select(*names, "metric", "n", "quantile", "value")
+
+
 def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from parts of separate days, made apart and then united."""
     results = _read(spark, sf_dir, "results").withColumn("odd", F.dayofyear("ingested_at") % 2)
@@ -136,6 +144,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_percentiles": p6_percentiles,
+    "p6_daily": p6_daily,
     "p6_combined": p6_combined,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
@@ -165,16 +174,17 @@ g as (select *, min(record_id) over (partition by task_id, model, b, m) keep_id
 """
 
 
-def _percentiles_sql(quantiles: tuple) -> str:
+def _percentiles_sql(quantiles: tuple, day: str = "") -> str:
     rows = ", ".join(f"({q}::double)" for q in quantiles)
-    return f"""with v as (select backend, 'wall_time_s' metric, wall_time_s x from results union all select backend, 'compile_time_s', compile_time_s from results),
-s as (select backend, metric, list_sort(list(x)) xs, count(*) n from v where x is not null and not isnan(x) and x >= 0 group by backend, metric)
-select backend, metric, n, quantile, xs[greatest(1, ceil(round(quantile * n, 9)))::int] "value" from s, (values {rows}) q(quantile)"""
+    return f"""with v as (select backend, {day} 'wall_time_s' metric, wall_time_s x from results union all select backend, {day} 'compile_time_s', compile_time_s from results),
+s as (select * exclude (x), list_sort(list(x)) xs, count(*) n from v where x is not null and not isnan(x) and x >= 0 group by all)
+select * exclude (xs, n, quantile),  n, quantile, xs[greatest(1, ceil(round(quantile * n, 9)))::int] "value" from s, (values {rows}) q(quantile)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_percentiles": _percentiles_sql(QUANTILES),
+        "p6_daily": _percentiles_sql(QUANTILES, "strftime(ingested_at at time zone 'UTC', '%Y-%m-%d') as \"day\","),
         "p6_combined": _percentiles_sql((0.5,)),
         "p2_found": _TERMS + "select field, term, mark from m where mark is not null",
         "p2_terms": _TERMS + "select field, term, occurrences, records, mark from m",

@@ -1,4 +1,5 @@
 import bisect
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -134,19 +135,12 @@ def test_length_limits(spark):
 
 # --- percentiles ------------------------------------------------------------------------
 def test_percentiles_equal_sorting(spark):
-    import math
-
     rng = random.Random(2)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), -1.0, 0.0, 5.0, 5.0, rng.random()])) for _ in range(3000)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(7)
     runs = parts(df.where("x is null or x < 0.5"), ["g"], ["x"]).unionByName(parts(df.where("not (x is null or x < 0.5)"), ["g"], ["x"]))
-    import provelight.llm.percentiles as P
-
-    old, P.select_ranks.__defaults__ = P.select_ranks.__defaults__, (8,)  # so that many rounds are needed
-    try:
-        got = {(r["group"], r["quantile"]): (r["n"], r["value"]) for r in percentiles(runs, [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
-    finally:
-        P.select_ranks.__defaults__ = old
+    # a small ``gather``, so that many rounds are needed
+    got = {(r["group"], r["quantile"]): (r["n"], r["value"]) for r in percentiles(runs, [0.0, 0.1, 0.5, 0.9, 1.0], gather=3).collect()}
     for g in ("a", "b", None):
         xs = sorted(x for h, x in rows if h == g and x is not None and x >= 0)
         key = '{"g":%s}' % ("null" if g is None else f'"{g}"')
@@ -155,6 +149,26 @@ def test_percentiles_equal_sorting(spark):
     assert percentiles(parts(df.limit(0), ["g"], ["x"]), [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("gather", [0, 1, 512])
+def test_percentiles_of_infinite_and_equal_values(spark, gather):
+    inf = math.inf
+    rows = [("half", inf if i % 2 else float(i)) for i in range(1000)] + [("mostly", inf)] * 3000 + [("mostly", 1.0)] * 300
+    rows += [("same", 7.0)] * 2500 + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), ("none", -inf)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {(r["group"][6:-2], r["quantile"]): r["value"] for r in percentiles(parts(df, ["g"], ["x"]), [0.05, 0.5, 0.99], gather).collect()}
+    want = {}
+    for g in ("half", "mostly", "same", "one", "two"):
+        xs = sorted(x for h, x in rows if h == g)
+        want.update({(g, q): xs[max(1, math.ceil(round(q * len(xs), 9))) - 1] for q in (0.05, 0.5, 0.99)})
+    assert got == want
+
+
+def test_percentiles_of_many_groups_and_clashing_columns(spark):
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("group"), (F.col("id") / 20_000).cast("int").cast("double").alias("run"), F.lit("x").alias("metric"))
+    got = percentiles(parts(df, ["group"], ["run"]), [0.5])
+    assert got.count() == 20_000 and got.where("value <> 1 or n <> 3").count() == 0
+
+
 # --- tokens -------------------------------------------------------------------------------
 ODD = ["", None, " ", "\n\n\n", "a" * 5000, " " * 3000, "x y" * 900, "\ud7ff\ufeff é\u200b" * 300, "don't  stop\t\tnow\r\n" * 200, "<|endoftext|>", "漢字かな" * 500]
 
