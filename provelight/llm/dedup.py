@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provelight.llm.hot import hot_join
+from provelight.llm.hot import asked_for, hot_join
 from provelight.store import keep
 
 # Characters that do not count.  White space is what Unicode calls so, and U+200B and U+FEFF.
@@ -96,9 +96,10 @@ def dress_copies(
     # A group of any size: its kept row is repeated once for each PER_SALT members.
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     sized = groups.select(*prints, "_keep", F.ceil(F.col("_n") / PER_SALT).cast("int").alias("_s"), "_n")
-    members = hot_join(printed, sized, prints, "_n", total).select("_id", "_keep", "_s")
-    # Texts are fetched for members of groups only, and made bare again once.
-    full = df.select(F.col(key).alias("_id"), F.col(text), *fields, *maps).join(members, "_id")
+    members = keep(hot_join(printed, sized, prints, "_n", total).select("_id", "_keep", "_s"), "ids")
+    # Texts are fetched for members of groups only (the others do not get to the shuffle), and made bare again once.
+    texts = df.select(F.col(key).alias("_id"), F.col(text), *fields, *maps)
+    full = asked_for(texts, members, ["_id"]).join(members, "_id")
     full = keep(full.select("_id", "_keep", "_s", bare(F.col(text)).alias("_bare"), *fields, *maps), "members")
     mine = full.where("_id <> _keep").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
     names = {c: f"_k_{c}" for c in ["_bare", *fields, *maps]}

@@ -12,7 +12,7 @@ from provelight.llm import spans as S
 from provelight.llm import tokens as K
 from provelight.llm.cutoff import cut_texts, length_limits
 from provelight.llm.dedup import PUNCTUATION, SPACE, dress_copies
-from provelight.llm.hot import hot_join
+from provelight.llm.hot import asked_for, hot_join
 from provelight.llm.packing import Packer, pack
 from provelight.llm.percentiles import parts, percentiles
 from provelight.llm.terms import count_terms, term_frequencies
@@ -320,5 +320,31 @@ def test_spans_of_nothing_and_shares(spark):
 def test_hot_join_equals_join(spark):
     left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(3000)], "k int, v int")
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
-    got = sorted(map(tuple, hot_join(left, right, ["k"], "n", 3000 * 10).select("k", "v", "m").collect()))
-    assert got == sorted(map(tuple, left.join(right.drop("n"), "k").select("k", "v", "m").collect()))
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").select("k", "v", "m").collect()))
+    for per_task in (10, 300, 100_000):
+        assert sorted(map(tuple, hot_join(left, right, ["k"], "n", 3000, per_task).select("k", "v", "m").collect())) == want
+
+
+def test_hot_keys_are_split(spark):
+    """A third of all rows has one key and another key has 1/300: no task gets more than about the bound."""
+    left = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 300 == 1, -2).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = hot_join(left, right, ["k"], "n", 90_000, per_task=100)
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id(), "k").count().where("k < 0").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 30_300 and max(sizes) < 0.5 * 30_000
+
+
+def test_asked_for_loses_nothing(spark):
+    rows = spark.range(20_000).select((F.col("id") % 997).alias("k"), F.concat(F.lit("t"), "id").alias("text"))
+    keys = spark.createDataFrame([(i,) for i in [0, 5, 5, 700, -1, None]], "k bigint")
+    got = asked_for(rows, keys, ["k"])
+    assert got.columns == ["k", "text"]
+    assert got.where("k in (0, 5, 700)").count() == rows.where("k in (0, 5, 700)").count() and got.count() < 100
+    assert asked_for(rows, keys.limit(0), ["k"]).count() == 0
