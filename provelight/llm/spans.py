@@ -16,15 +16,18 @@ agree on; ``plan`` checks that.
    anchor of some window).  Anchors with the same ``2 * MARGIN`` characters
    around them in two or more texts reveal candidates (first shuffle: one row
    of a few numbers per anchor).
-2. Candidate anchors whose windows cover equal content in two or more texts are
-   shared as a whole; one of these texts stands for all in the next step.
-3. Windows of the other candidates, and of those that stand for others, are
-   fingerprinted and counted by text (second shuffle).  A window that stands in
-   two texts is shared; adjoining windows are merged into spans.
-
-No texts and no pairs of texts are shuffled; a passage that stands in a third of
-all texts is one hot key, which is aggregated before the shuffle and met by a
-broadcast after it.
+2. Equal windows have equal anchors, so a window need only be compared with those
+   of its anchor's candidates.  Where the windows of all candidates cover equal
+   content, these are shared as a whole and nothing more is looked at: that is the
+   inside of a repeat.  At its edges contents differ; equal ones are shared, and
+   one text stands for all that have it in the next step.
+3. The windows at the edges are fingerprinted and counted by text (second
+   shuffle).  A window that stands in two texts is shared; adjoining windows are
+   merged into spans.
+
+Texts are fetched again for step 3 alone, and only those that have edges.  No
+pairs of texts are made; a passage that stands in a third of all texts is one hot
+key, which is aggregated before the shuffle and split after it.
 """
 
 from __future__ import annotations
@@ -35,23 +38,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provelight.llm.hot import hot_join
+from provelight.llm.hot import asked_for, hot_join
+from provelight.llm.prints import ODD, Windows, block, blocks, mix
 from provelight.store import keep
 
 #: Rounds and the most characters a symbol may have after each.
 ROUNDS = [("run", 3), ("pair", 3), ("pair", 4), ("pair", 6), ("run", 8), ("pair", 9), ("pair", 13), ("pair", 18)]
-#: Characters of one block of texts that are rewritten together.
-BLOCK = 1_000_000
-
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mixer."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
 
 
 def margin_and_gap(rounds: list[tuple[str, int]] = ROUNDS) -> tuple[int, int]:
@@ -93,7 +85,7 @@ def symbols(codes: np.ndarray, breaks: np.ndarray, rounds: list[tuple[str, int]]
         if n < 2:
             break
         size = np.diff(np.append(start, len(codes)))
-        salt = mix(np.array([number + 1], np.uint64) * _ODD[0])
+        salt = mix(np.array([number + 1], np.uint64) * ODD[0])
         if kind == "run":
             new = np.empty(n, bool)
             new[0] = True
@@ -104,7 +96,7 @@ def symbols(codes: np.ndarray, breaks: np.ndarray, rounds: list[tuple[str, int]]
             join = (count > 1) & (total <= cap)
             stay = new | ~np.repeat(join, count)
             renamed = name.copy()
-            renamed[at[join]] = mix(name[at[join]] * _ODD[1] + count[join].astype(np.uint64) * _ODD[0] + salt)
+            renamed[at[join]] = mix(name[at[join]] * ODD[1] + count[join].astype(np.uint64) * ODD[0] + salt)
         else:
             side = (mix(name ^ salt) >> np.uint64(63)).astype(bool)
             pair = ~side[:-1] & side[1:] & ~first[1:] & (size[:-1] + size[1:] <= cap)
@@ -112,48 +104,11 @@ def symbols(codes: np.ndarray, breaks: np.ndarray, rounds: list[tuple[str, int]]
             stay[1:] = ~pair
             renamed = name.copy()
             left = np.flatnonzero(pair)
-            renamed[left] = mix(mix(name[left] * _ODD[0] + salt) + name[left + 1] * _ODD[1])
+            renamed[left] = mix(mix(name[left] * ODD[0] + salt) + name[left + 1] * ODD[1])
         start, name, first = start[stay], renamed[stay], first[stay]
     return start, name
 
 
-def _block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, first-character marks, and offsets of the texts (one more than texts)."""
-    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    at = np.append(0, np.cumsum(lengths))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    breaks = np.zeros(len(codes) + 1, bool)
-    breaks[at[:-1]] = True
-    return codes, breaks[: len(codes)], at
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    powers = np.full(n, base, np.uint64)
-    powers[:1] = 1
-    return np.cumprod(powers, dtype=np.uint64)
-
-
-class Windows:
-    """128-bit fingerprints of windows of a block, in constant time each."""
-
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        value = mix(codes.astype(np.uint64) + np.uint64(0x1234567))
-        self.sums, self.back = [], []
-        for base in _ODD:
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(value * _powers(base, n), dtype=np.uint64, out=sums[1:])
-            self.sums.append(sums)
-            self.back.append(_powers(np.uint64(pow(int(base), -1, 1 << 64)), n))
-
-    def prints(self, at: np.ndarray, length: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for sums, back in zip(self.sums, self.back, strict=True):
-            h = (sums[at + length] - sums[at]) * back[at]
-            out.append(mix(h).view(np.int64))
-        return out[0], out[1]
-
-
 def anchors(codes: np.ndarray, breaks: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a block: (text number, position, first and last window start it is anchor of).
 
@@ -162,56 +117,40 @@ def anchors(codes: np.ndarray, breaks: np.ndarray, at: np.ndarray, length: int)
     seek = plan(length)
     start, name = symbols(codes, breaks)
     # Order of the anchors: a boundary's rank is the hash of the symbol that begins there.
-    rank = mix(name + _ODD[0])
+    rank = mix(name + ODD[0])
     text = np.searchsorted(at, start, side="right") - 1
-    long = np.diff(at) >= length
-    ok = long[text]
+    ok = (np.diff(at) >= length)[text]
     start, rank, text = start[ok], rank[ok], text[ok]
-    if not len(start):
-        return (np.empty(0, np.int64),) * 4
-    # A window seeks the smallest rank in [p + MARGIN, p + length - MARGIN - GAP], so that the
-    # symbol beginning there ends inside the agreed part too.
-    score = np.full(len(codes), np.iinfo(np.uint64).max, np.uint64)
-    score[start] = rank >> np.uint64(1)
-    found_text, found_pos, found_from, found_to = [], [], [], []
-    for t in np.flatnonzero(long):
-        a, b = at[t], at[t + 1]
-        best = _sliding_argmin(score[a + MARGIN : b - MARGIN - GAP + 1], seek + 1)
-        change = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
-        last = np.append(change[1:], len(best)) - 1
-        found_text.append(np.full(len(change), t))
-        found_pos.append(best[change] + MARGIN)
-        found_from.append(change)
-        found_to.append(last)
-    return tuple(np.concatenate(x) for x in (found_text, found_pos, found_from, found_to))
-
-
-def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost minimum of each stretch of ``width`` values (doubling)."""
-    index = np.arange(len(x))
-    span = 1
-    while span * 2 <= width:
-        a, b = index[: len(index) - span], index[span:]
-        index = np.where(x[b] < x[a], b, a)
-        span *= 2
-    rest = width - span
-    if rest:
-        a, b = index[: len(index) - rest], index[rest:]
-        index = np.where(x[b] < x[a], b, a)
-    return index
-
-
-def _blocks(batches: Iterator, text_at: int = 1) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.append(row)
-            size += len(row[text_at])
-            if size >= BLOCK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    # A window p seeks the smallest rank in [p + MARGIN, p + MARGIN + seek], so that the symbol
+    # beginning there ends inside the agreed part too; of equal ranks the first.
+    before = _smaller(start, rank, text, seek, -1)
+    after = _smaller(start, rank, text, seek, 1)
+    first = np.maximum(np.maximum(at[text], start - MARGIN - seek), before - MARGIN + 1)
+    last = np.minimum(np.minimum(at[text + 1] - length, start - MARGIN), after - MARGIN - seek - 1)
+    some = np.flatnonzero(first <= last)
+    text, begin = text[some], at[text[some]]
+    return text, start[some] - begin, first[some] - begin, last[some] - begin
+
+
+def _smaller(start: np.ndarray, rank: np.ndarray, text: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """Position of the nearest boundary on one side with a smaller rank (before: or an equal one).
+
+    Sought up to ``reach`` characters away in the same text; else beyond all positions.
+    """
+    n = len(start)
+    found = np.full(n, -(1 << 40) if step < 0 else 1 << 40, np.int64)
+    open_, k = np.arange(n), 0
+    while len(open_):
+        k += step
+        there = open_ + k
+        ok = (there >= 0) & (there < n)
+        open_, there = open_[ok], there[ok]
+        ok = (text[there] == text[open_]) & (np.abs(start[there] - start[open_]) <= reach)
+        open_, there = open_[ok], there[ok]
+        less = rank[there] <= rank[open_] if step < 0 else rank[there] < rank[open_]
+        found[open_[less]] = start[there[less]]
+        open_ = open_[~less]
+    return found
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -221,8 +160,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     types = [*[pa.int64()] * 5, pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches):
-            codes, breaks, at = _block([t for _, t in rows])
+        for rows in blocks(batches):
+            codes, at = block([t for _, t in rows])
+            breaks = np.zeros(len(codes), bool)
+            breaks[at[:-1]] = True  # no text here is empty
             number, pos, first, last = anchors(codes, breaks, at, length)
             if not len(number):
                 continue
@@ -248,8 +189,8 @@ def _window_rows(texts: DataFrame, length: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches):
-            codes, _, at = _block([r[1] for r in rows])
+        for rows in blocks(batches):
+            codes, at = block([r[1] for r in rows])
             ids, ps, where, lo, hi = [], [], [], [], []
             for k, (ident, _, ranges) in enumerate(rows):
                 for r in ranges:
@@ -266,9 +207,9 @@ def _window_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, p int, w1 bigint, w2 bigint, lo bigint, hi bigint")
 
 
-def _texts_by(rows: DataFrame, key: list[str], lo: str = "id", hi: str = "id") -> DataFrame:
+def _texts_by(rows: DataFrame, key: list[str], *more, lo: str = "id", hi: str = "id") -> DataFrame:
     """(key..., _lo, _hi, _n): smallest and largest text and number of rows of each key."""
-    return rows.groupBy(*key).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), F.count("*").alias("_n"))
+    return rows.groupBy(*key).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), F.count("*").alias("_n"), *more)
 
 
 def _met(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
@@ -287,16 +228,22 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 240) -> DataF
     plan(length)
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") >= length)
     grams = keep(_anchor_rows(texts, length), "anchors")
-    common = keep(_texts_by(grams, ["g1", "g2"]).where("_lo <> _hi").select("g1", "g2", "_n"), "grams")
-    candidates = keep(_met(grams, common, ["g1", "g2"]).select("id", "c1", "c2", "first", "last"), "candidates")
-    contents = keep(_texts_by(candidates, ["c1", "c2"]), "contents")
-    marked = keep(_met(candidates, contents, ["c1", "c2"]).select("id", "first", "last", "_lo", "_hi"), "marked")
-    sure = marked.where("_lo <> _hi")
+    gram, content = ["g1", "g2"], ["c1", "c2"]
+    edge = (F.min("c1") != F.max("c1")).alias("_edge")
+    common = keep(_texts_by(grams, gram, edge).where("_lo <> _hi").select(*gram, "_n", "_edge"), "grams")
+    candidates = _met(asked_for(grams, common, gram), common, gram)
+    candidates = keep(candidates.select("id", *content, "first", "last", "_edge"), "candidates")
+    inside = candidates.where("not _edge").select("id", "first", "last")
+    edges = candidates.where("_edge").drop("_edge")
+    contents = keep(_texts_by(edges, content), "contents")
+    marked = keep(_met(edges, contents, content).select("id", "first", "last", "_lo", "_hi"), "marked")
+    sure = inside.unionByName(marked.where("_lo <> _hi").select("id", "first", "last"))
     sought = marked.where("id = _lo").select("id", "first", "last", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    ranges = sought.groupBy("id").agg(F.collect_list(F.struct("first", "last", "lo", "hi")).alias("ranges"))
-    windows = keep(_window_rows(texts.join(ranges, "id"), length), "windows")
-    shared = keep(_texts_by(windows, ["w1", "w2"], "lo", "hi").where("_lo <> _hi").select("w1", "w2", "_n"), "shared")
-    hits = _met(windows.select("id", "p", "w1", "w2"), shared, ["w1", "w2"])
+    ranges = keep(sought.groupBy("id").agg(F.collect_list(F.struct("first", "last", "lo", "hi")).alias("ranges")), "ranges")
+    windows = keep(_window_rows(asked_for(texts, ranges, ["id"]).join(ranges, "id"), length), "windows")
+    shared = keep(_texts_by(windows, ["w1", "w2"], lo="lo", hi="hi").where("_lo <> _hi").select("w1", "w2", "_n"), "shared")
+    windows = windows.select("id", "p", "w1", "w2")
+    hits = _met(asked_for(windows, shared, ["w1", "w2"]), shared, ["w1", "w2"])
     # Stretches that touch or overlap become one span; a text's are bounded by its length.
     parts = hits.select("id", F.col("p").alias("s"), (F.col("p") + length).alias("e")).unionByName(
         sure.select("id", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
