@@ -54,12 +54,21 @@ def _place(key: list[str]) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(STRETCHES)).cast("int"), F.shiftrightunsigned(h, 24) % 32_768
 
 
-def asked_for(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose key is in ``keys``, and few others (one in a thousand where the keys are below ten million)."""
+def asked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``_asked``: true for each row whose key is in ``keys`` and few others.
+
+    Of the others one in a thousand where the keys are below a hundred thousand,
+    one in ten at ten million, all at a billion.  A null key may be asked for.
+    """
     stretch, bit = _place(on)
     filter_ = keys.select(stretch.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     filter_ = F.broadcast(keep(filter_, "filter"))
     byte = F.expr("conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10)").cast("int")
     hit = F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
-    placed = rows.withColumns({"_at": stretch, "_bit": bit}).join(filter_, "_at")
-    return placed.withColumn("_byte", byte).where(hit).drop("_at", "_bit", "_bits", "_byte")
+    placed = rows.withColumns({"_at": stretch, "_bit": bit}).join(filter_, "_at", "left").withColumn("_byte", byte)
+    return placed.withColumn("_asked", F.coalesce(hit, F.lit(False))).drop("_at", "_bit", "_bits", "_byte")
+
+
+def asked_for(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows ``asked`` says yes to."""
+    return asked(rows, keys, on).where("_asked").drop("_asked")
