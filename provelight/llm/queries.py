@@ -88,6 +88,11 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(_texts(spark, sf_dir))
 
 
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts each rule flags, at significant lengths and elsewhere."""
+    return cut_texts(_texts(spark, sf_dir)).groupBy("source_table", "reason", "at_limit").agg(F.count("*").alias("n"))
+
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -143,6 +148,7 @@ QUERIES = {
     "p3_collapsed": p3_collapsed,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p5_reasons": p5_reasons,
     "p6_percentiles": p6_percentiles,
     "p6_daily": p6_daily,
     "p6_combined": p6_combined,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provelight.llm import spans as S
 from provelight.llm import tokens as K
-from provelight.llm.cutoff import cut_texts, length_limits
+from provelight.llm.cutoff import _longer, cut_texts, length_limits
 from provelight.llm.dedup import PUNCTUATION, SPACE, dress_copies
 from provelight.llm.hot import asked_for, hot_join
 from provelight.llm.packing import Packer, pack
@@ -125,6 +125,32 @@ def test_copies_of_a_cut_text_are_no_evidence(spark):
     assert {10_000 + i for i in range(1500)} <= without
 
 
+def test_torn_words_in_few_texts_and_very_long_lines(spark):
+    whole = proofs(500)
+    line = "have q : " + "alpha beta gamma delta " * 9_000 + "done"
+    rows = [("t", i, -1, "s", t, f"o{i}") for i, t in enumerate(whole)]
+    rows += [("t", 1000 + i, -1, "s", "by\n  " + line, f"p{i}") for i in range(12)]
+    rows += [("t", 2000, -1, "s", "by\n  " + line[:140_001], "q")]  # ends in the middle of a word of the long line
+    rows += [("t", 3000, -1, "s", "so then foo_ba", "r")]  # a torn word, in a line nobody knows
+    df = spark.createDataFrame(rows, "source_table string, record_id bigint, position int, source string, text string, origin string")
+    got = {r["record_id"]: r["reason"] for r in cut_texts(df).collect()}
+    assert got.get(3000) == "word" and got.get(2000) in ("goes_on", "word")
+    assert not set(range(1000, 1012)) & got.keys() and len(got) <= 2 + 0.02 * len(whole)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 63, 64, 65, 700])
+def test_prefix_ladder_equals_all_prefixes(spark, n):
+    rng = random.Random(n)
+    text = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([1, 2, n, n + 1, rng.randint(1, n)])))
+    known = list({("s", text()): rng.randint(1, 5) for _ in range(60)}.items())
+    probes = {k[1][: rng.randint(0, len(k[1]))] for k, _ in known} | {text() for _ in range(20)}
+    left = spark.createDataFrame([(*k, v) for k, v in known], "key string, text string, n bigint")
+    right = spark.createDataFrame([("s", p) for p in probes], "key string, text string")
+    got = {(r["text"], r["ext"]) for r in right.withColumn("p", F.xxhash64("text")).join(_longer(left, right, ["key"]), ["key", "p"]).collect()}
+    want = {(p, sum(v for (_, t), v in known if len(t) > len(p) and t.startswith(p))) for p in probes if p}
+    assert got == {w for w in want if w[1]}
+
+
 def test_length_limits(spark):
     rng = random.Random(3)
     n = Counter(min(200, int(rng.gauss(150, 40))) for _ in range(4000))
