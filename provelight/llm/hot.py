@@ -9,7 +9,7 @@ never a right row, and only up to ``MOST_HOT`` keys: beyond these, the threshold
 rises until they fit, so that the largest pieces are split first.
 
 ``asked_for`` keeps the rows of a wide table whose key is in a key table, and
-few others, without a shuffle: the keys set bits in a filter of at most 16 MB,
+few others, without a shuffle: the keys set bits in a filter of at most 4 MB,
 which is broadcast.  The join behind it then shuffles the rows that are left.
 """
 
@@ -23,7 +23,7 @@ from provelight.store import keep
 #: Left rows of one key, or piece of a key, that one task joins; the most hot keys.
 PER_TASK, MOST_HOT = 250_000, 500_000
 #: Stretches of the filter; each has 32,768 bits (4 KB).
-STRETCHES = 4_096
+STRETCHES = 1_024
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, per_task: int = PER_TASK) -> DataFrame:
@@ -57,8 +57,9 @@ def _place(key: list[str]) -> tuple[Column, Column]:
 def asked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` with ``_asked``: true for each row whose key is in ``keys`` and few others.
 
-    Of the others one in a thousand where the keys are below a hundred thousand,
-    one in ten at ten million, all at a billion.  A null key may be asked for.
+    Of the others three in a thousand at a hundred thousand keys, three in a
+    hundred at a million, all at a billion (a larger ``STRETCHES`` moves that up).
+    A null key may be asked for.
     """
     stretch, bit = _place(on)
     filter_ = keys.select(stretch.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bitmap_construct_agg("_bit").alias("_bits"))

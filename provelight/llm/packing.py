@@ -6,21 +6,25 @@ The rule keeps a stock of different gaps, so that later items find one they fill
 exactly, without knowing what is to come.
 
 Items are dealt to packers of about ``PER_PACKER`` items by the hash of their
-key; each packer takes its items in the order of that hash, so a packer that is
-run again packs alike.  The containers left open by all packers then become the
-items of a next round with ``FAN_IN`` times fewer packers, until one packer is
+key; each packer takes its items by falling size (ties by that hash), so a packer
+that is run again packs alike.  The containers left open by all packers then become
+the items of a next round with ``FAN_IN`` times fewer packers, until one packer is
 left; what a round leaves open is a few thousand containers per packer, however
-many items it had.  Containers that are full are never touched again.
+many items it had.  Containers that are full are never touched again.  The stock
+the rule still holds open when the last packer is done has no later items to wait
+for: it is closed by best fit, open containers that fit together becoming one.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provelight.llm.hot import asked
 from provelight.store import keep
 
 PER_PACKER = 200_000
@@ -62,28 +66,46 @@ class Packer:
             count[left] += 1
         return number
 
+    def closing(self) -> list[tuple[int, int]]:
+        """(container, container it is emptied into) by best fit among those left open, fullest first."""
+        moves, gaps = [], []
+        for n, filled in sorted(self.left_open(), key=lambda x: (-x[1], x[0])):
+            at = bisect.bisect_left(gaps, (filled, -1))
+            if at < len(gaps):
+                gap, into = gaps.pop(at)
+                moves.append((n, into))
+                bisect.insort(gaps, (gap - filled, into))
+            else:
+                bisect.insort(gaps, (self.capacity - filled, n))
+        return moves
+
     def left_open(self) -> list[tuple[int, int]]:
         """(container, filled) of all containers with a gap."""
         return [(n, self.capacity - gap) for gap in range(1, self.capacity) for n in self.open[gap]]
 
 
 def _round(items: DataFrame, packers: int, level: int, capacity: int) -> DataFrame:
-    """(item, box, filled): the box of each item, and (NULL, box, filled) of boxes left open."""
+    """(item, piece, box, filled, kind).
+
+    kind 0: the box of each item; 1: a box left open, item NULL; 2: box ``item``
+    is emptied into ``box`` (the last round, which has one packer, closes so).
+    """
     import pandas as pd
 
+    columns = {"item": "Int64", "piece": "Int32", "box": "int64", "filled": "int32", "kind": "int32"}
+    table = lambda *values: pd.DataFrame({c: pd.array(v, t) for (c, t), v in zip(columns.items(), values, strict=True)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, group, base = None, None, 0
 
         def rest() -> pd.DataFrame:
+            if packers == 1:
+                moves = packer.closing()
+                none = [0] * len(moves)
+                return table([base + a for a, _ in moves], none, [base + b for _, b in moves], none, [2] * len(moves))
             left = packer.left_open()
-            return pd.DataFrame(
-                {
-                    "item": pd.array([None] * len(left), "Int64"),
-                    "piece": pd.array([None] * len(left), "Int32"),
-                    "box": [base + n for n, _ in left],
-                    "filled": [f for _, f in left],
-                }
-            )
+            none = [None] * len(left)
+            return table(none, none, [base + n for n, _ in left], [f for _, f in left], [1] * len(left))
 
         for batch in batches:
             for g, part in batch.groupby("g", sort=False):
@@ -92,16 +114,14 @@ def _round(items: DataFrame, packers: int, level: int, capacity: int) -> DataFra
                         yield rest()
                     packer, group = Packer(capacity), g
                     base = (level << 58) | (int(g) << 32)
-                boxes = [base + packer.place(s) for s in part["size"].tolist()]
-                yield pd.DataFrame(
-                    {"item": part["item"].astype("Int64"), "piece": part["piece"].astype("Int32"), "box": boxes, "filled": part["size"].astype("int32")}
-                )
+                sizes = part["size"].tolist()
+                yield table(part["item"].tolist(), part["piece"].tolist(), [base + packer.place(s) for s in sizes], sizes, [0] * len(sizes))
         if packer is not None:
             yield rest()
 
-    dealt = items.withColumn("_h", F.xxhash64("item")).withColumn("g", F.pmod("_h", F.lit(packers)))
-    ordered = dealt.repartition(packers, "g").sortWithinPartitions("g", "_h", "item", "piece")
-    return ordered.select("g", "item", "piece", "size").mapInPandas(run, "item bigint, piece int, box bigint, filled int")
+    dealt = items.withColumn("_h", F.xxhash64("item")).withColumn("g", F.pmod("_h", F.lit(packers)).cast("int"))
+    ordered = dealt.repartitionById(packers, "g").sortWithinPartitions("g", F.desc("size"), "_h", "item", "piece")
+    return ordered.select("g", "item", "piece", "size").mapInPandas(run, "item bigint, piece int, box bigint, filled int, kind int")
 
 
 def pack(df: DataFrame, key: str, size: str, capacity: int, per_packer: int = PER_PACKER, fan_in: int = FAN_IN) -> DataFrame:
@@ -122,15 +142,24 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, per_packer: int = PE
     n = pieces.count()
     packers = max(1, -(-n // per_packer))
     packed = keep(_round(pieces, packers, 0, capacity), "packed")
-    placed = packed.where("item is not null").select("item", "piece", "box", F.col("filled").alias("size"))
-    level = 1
+    placed = packed.where("kind = 0").select("item", "piece", "box", F.col("filled").alias("size"))
+    moves = lambda kind: packed.where(F.col("kind") == kind).select(F.col("item").alias("box"), F.col("box").alias("_to"))
+    # Moves of the rounds are few; they are composed, and the items meet them once.
+    way, level = [], 1
     while packers > 1:
         packers = -(-packers // fan_in)
-        left = packed.where("item is null").select(F.col("box").alias("item"), F.lit(0).alias("piece"), F.col("filled").alias("size"))
+        left = packed.where("kind = 1").select(F.col("box").alias("item"), F.lit(0).alias("piece"), F.col("filled").alias("size"))
         packed = keep(_round(left, packers, level, capacity), "repacked")
-        moves = packed.where("item is not null").select(F.col("item").alias("box"), F.col("box").alias("_to"))
-        placed = placed.join(moves, "box", "left").select("item", "piece", F.coalesce("_to", "box").alias("box"), "size")
+        way.append(moves(0))
         level += 1
+    final = moves(2)
+    for step in reversed(way):
+        on = final.select(F.col("box").alias("_to"), F.col("_to").alias("_on"))
+        final = step.join(on, "_to", "left").select("box", F.coalesce("_on", "_to").alias("_to"))
+    final = keep(final, "moves")
+    met = asked(placed, final, ["box"])
+    moved = met.where("_asked").join(final, "box", "left").select("item", "piece", F.coalesce("_to", "box").alias("box"), "size")
+    placed = met.where("not _asked").select("item", "piece", "box", "size").unionByName(moved)
     rows = placed.select("item", "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("start"), F.col("size").alias("n_units"), F.col("box").alias("container"))
     empty = sizes.where("_s = 0").select(
         "item", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("n_units"), F.lit(None).cast("bigint").alias("container")
