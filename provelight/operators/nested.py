@@ -18,7 +18,7 @@ array.  Null values and null elements give no row, but null elements keep their
 place in the ordinals.  An empty object gives its own row and no children.
 
 ``entities`` joins object nodes with their scalar children and pivots the
-children into columns.  All nodes of a record are made from one row in one task,
+children into columns, for any number of labels in one pass.  All nodes of a record are made from one row in one task,
 so object row and scalar children meet in the map-side half of one hash
 aggregate keyed on the object's node, and only finished entity rows are
 shuffled; no node row ever is.  Everything stays in the JVM.
@@ -198,36 +198,38 @@ def shred_json(
     return _exploded(held.where("_v is not null"), keep, nodes).where(F.col("node") != ROOT)
 
 
-def entities(adjacency: DataFrame, keys: Sequence[str], label: str, fields: dict[str, str]) -> DataFrame:
-    """One row per value with this label, its scalar children as columns.
+def entities(adjacency: DataFrame, keys: Sequence[str], tables: dict[str, dict[str, str]]) -> DataFrame:
+    """One row per value with one of the labels of ``tables``, its scalar children as columns.
 
-    ``fields`` maps child names to the SQL type of the output column; a value
-    that cannot be cast is NULL.  Scalar elements (an array of strings) come out
-    with their own text in ``value`` and NULL children.
+    ``tables`` maps each label to its fields, and these to the SQL type of the
+    output column (one name has one type); a value that cannot be cast is NULL, as
+    are the fields of other labels.  Scalar elements (an array of strings) come
+    out with their own text in ``value`` and NULL children.  A field that is an
+    array of scalars gives its greatest text.
     """
-    children = {f"{label}.{name}": name for name in fields}
-    wanted = adjacency.where(F.col("label").isin(label, *children))
-    own = F.col("label") == label
+    children = {f"{label}.{name}": name for label, fields in tables.items() for name in fields}
+    kinds = {name: kind for fields in tables.values() for name, kind in fields.items()}
+    wanted = adjacency.where(F.col("label").isin(*tables, *children))
+    own = F.col("label").isin(*tables)
     entity = F.when(own, F.col("node")).otherwise(F.col("parent"))
-    child = lambda path: F.max(F.when(F.col("label") == path, F.col("scalar")))
+    child = lambda name: F.max(F.when(F.col("label").isin(*[p for p, n in children.items() if n == name]), F.col("scalar")))
+    mine = lambda c: F.max(F.when(own, F.col(c))).alias(c)
     return (
-        wanted.groupBy(*keys, entity.alias("node"))
+        wanted.groupBy(*keys, entity.alias("_node"))
         .agg(
-            F.max(F.when(own, F.col("parent"))).alias("parent"),
-            F.max(F.when(own, F.col("parent_ordinal"))).alias("parent_ordinal"),
-            F.max(F.when(own, F.col("ordinal"))).alias("ordinal"),
+            *[mine(c) for c in ("label", "parent", "parent_ordinal", "ordinal")],
             F.max(F.when(own, F.col("scalar"))).alias("value"),
-            F.max(own).alias("_own"),
-            *[child(path).alias("_c_" + name) for path, name in children.items()],
+            *[child(name).alias("_c_" + name) for name in kinds],
         )
-        .where("_own")
+        .where("label is not null")
         .select(
             *keys,
-            "node",
+            F.col("label").alias("_label"),
+            F.col("_node").alias("node"),
             "parent",
             "parent_ordinal",
             "ordinal",
             "value",
-            *[F.expr(f"try_cast(`_c_{name}` as {kind})").alias(name) for name, kind in fields.items()],
+            *[F.expr(f"try_cast(`_c_{name}` as {kind})").alias(name) for name, kind in kinds.items()],
         )
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from provelight.operators.nested import entities, shred, shred_json
 from provelight.store import spread
 
+#: Objects inside one another that are shredded (a block lies four deep); what is deeper stays JSON text.
+MAX_DEPTH = 6
 KEYS = ["source_table", "record_id"]
 COLUMNS = {"results": ["soundness", "diagnostics"], "verdicts": ["checks", "judge"]}
 ARRAYS = ["checks", "diagnostics", "soundness.violations", "judge.samples", "judge.raw", "judge.raw.blocks"]
@@ -21,23 +23,15 @@ CHILDREN = [
     ("call", "judge.raw", True),
     ("block", "judge.raw.blocks", True),
 ]
+#: Entity tables: the label and its scalar fields.
 TABLES = {
     "p1_checks": ("checks", {"kind": "string", "passed": "boolean", "detail": "string", "fatal": "boolean"}),
     "p1_diagnostics": ("diagnostics", {"severity": "string", "message": "string", "line": "int", "column": "int", "kind": "string"}),
+    "p1_soundness": ("soundness", {"ok": "boolean"}),
+    "p1_violations": ("soundness.violations", {}),
     "p1_judges": ("judge", {"label": "string", "reasoning": "string", "confidence": "double", "aggregation": "string"}),
-    "p1_usage": ("judge.usage", {"input_tokens": "bigint", "output_tokens": "bigint", "calls": "int", "model": "string"}),
-    "p1_calls": ("judge.raw", {"call_id": "string", "model": "string"}),
-    "p1_blocks": ("judge.raw.blocks", {"type": "string", "body": "string"}),
-}
-#: The tables over every source that can hold the label, wire_records included, with all dealt fields.
-ALL_TABLES = {
-    "p1_all_checks": TABLES["p1_checks"],
-    "p1_all_diagnostics": TABLES["p1_diagnostics"],
-    "p1_all_soundness": ("soundness", {"ok": "boolean"}),
-    "p1_all_violations": ("soundness.violations", {}),
-    "p1_all_judges": TABLES["p1_judges"],
-    "p1_all_samples": ("judge.samples", {}),
-    "p1_all_usage": (
+    "p1_samples": ("judge.samples", {}),
+    "p1_usage": (
         "judge.usage",
         {
             "input_tokens": "bigint",
@@ -49,8 +43,8 @@ ALL_TABLES = {
             "model": "string",
         },
     ),
-    "p1_all_calls": TABLES["p1_calls"],
-    "p1_all_blocks": TABLES["p1_blocks"],
+    "p1_calls": ("judge.raw", {"call_id": "string", "model": "string"}),
+    "p1_blocks": ("judge.raw.blocks", {"type": "string", "body": "string"}),
 }
 
 
@@ -61,7 +55,7 @@ def adjacency(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("resu
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         keys = [F.lit(name).alias("source_table"), F.col("record_id")]
         if name == "wire_records":
-            part = shred_json(df, keys, "payload", unwrap="record", arrays=ARRAYS, max_depth=5)  # a block lies four objects deep
+            part = shred_json(df, keys, "payload", unwrap="record", arrays=ARRAYS, max_depth=MAX_DEPTH)
         else:
             part = shred(spread(df.select("record_id", *COLUMNS[name])), keys, COLUMNS[name])
         out = part if out is None else out.unionByName(part)
@@ -71,18 +65,17 @@ def adjacency(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("resu
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child that is not null, with its place and that of its parent.
 
-    One aggregate over the adjacency table: an entity is a node with one of the
-    seven labels.  Positions only; the scalar children meet it in ``entities``.
+    The places of the entities of all seven labels, from one pass over the
+    adjacency table in which objects meet their scalar children.
     """
-    adj = adjacency(spark, sf_dir)
-    labels = {label: child for child, label, _ in CHILDREN}
+    fields = dict(TABLES.values())
+    found = entities(adjacency(spark, sf_dir), KEYS, {label: fields[label] for _, label, _ in CHILDREN})
+    name = F.create_map(*[F.lit(x) for child, label, _ in CHILDREN for x in (label, child)])[F.col("_label")]
     placed = [label for _, label, up in CHILDREN if up]
-    own = adj.where(F.col("label").isin(*labels))
-    name = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col("label")]
-    return own.groupBy(*KEYS, "label", "node").agg(F.max("ordinal").alias("ordinal"), F.max("parent_ordinal").alias("up")).select(
+    return found.select(
         *KEYS,
         name.alias("child"),
-        F.when(F.col("label").isin(*placed), F.coalesce("up", F.lit(0))).otherwise(-1).alias("parent_position"),
+        F.when(F.col("_label").isin(*placed), F.coalesce("parent_ordinal", F.lit(0))).otherwise(-1).alias("parent_position"),
         F.coalesce("ordinal", F.lit(0)).alias("position"),
     )
 
@@ -90,21 +83,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table(query: str):
     label, fields = TABLES[query]
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        source = ("results",) if label == "diagnostics" else ("verdicts",)
-        rows = entities(adjacency(spark, sf_dir, source), KEYS, label, fields)
-        return rows.drop("value", "source_table")
-
-    run.__doc__ = f"Entity table of {label} in {'results' if label == 'diagnostics' else 'verdicts'} alone: one row per object, its scalar fields as columns."
-    return run
-
-
-def _all_table(query: str):
-    label, fields = ALL_TABLES[query]
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         typed = "results" if label.split(".")[0] in COLUMNS["results"] else "verdicts"
-        return entities(adjacency(spark, sf_dir, (typed, "wire_records")), KEYS, label, fields)
+        return entities(adjacency(spark, sf_dir, (typed, "wire_records")), KEYS, {label: fields}).drop("_label")
 
     run.__doc__ = f"""Entity table of {label} over every source that can hold it.
 
@@ -116,7 +97,7 @@ def _all_table(query: str):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, **{name: _table(name) for name in TABLES}, **{name: _all_table(name) for name in ALL_TABLES}}
+    return {"p1_found": p1_found, **{name: _table(name) for name in TABLES}}
 
 
 _WIRE = """wire as (
@@ -169,23 +150,40 @@ def _found_sql() -> str:
     return f"with {_WIRE}\n" + "\nunion all ".join(out)
 
 
+def _elements(path: str) -> tuple[str, str]:
+    """Relations (record_id, node, parent, up, i, e) of the values with a label: of the typed table and of wire_records.
+
+    ``i`` is the position from 0, NULL outside arrays; ``up`` that of the parent.
+    """
+    table = "results" if path.split(".")[0] in COLUMNS["results"] else "verdicts"
+    typed, wire = f"(select record_id, '$' node, null::int i, {table} e from {table})", "(select record_id, '$' node, null::int i, r e from wire)"
+    steps, label = path.split("."), ""
+    for step in steps:
+        label = f"{label}.{step}".lstrip(".")
+        if label in ARRAYS:
+            typed = f"""(select record_id, node || '.{step}[' || (j - 1) || ']' node, node parent, i up, (j - 1)::int i, a[j] e from
+                (select record_id, node, i, e.{step} a, unnest(generate_series(1, len(e.{step}))) j from {typed}) where a[j] is not null)"""
+            wire = f"""(select record_id, node || '.{step}' || case when listed then '[' || (j - 1) || ']' else '' end node, node parent, i up, (j - 1)::int i, a[j] e from
+                (select *, unnest(generate_series(1, len(a))) j from (select record_id, node, i, json_type(e, '$.{step}') = 'ARRAY' listed, {_listed("$." + step, var="e")} a from {wire}))
+                where json_type(a[j]) <> 'NULL')"""
+        else:
+            typed = f"(select record_id, node || '.{step}' node, node parent, i up, null::int i, e.{step} e from {typed} where e.{step} is not null)"
+            wire = f"(select record_id, node || '.{step}' node, node parent, i up, null::int i, json_extract(e, '$.{step}') e from {wire} where json_type(e, '$.{step}') <> 'NULL')"
+    return typed, wire
+
+
+def _table_sql(label: str, fields: dict[str, str]) -> str:
+    typed, wire = _elements(label)
+    table = "results" if label.split(".")[0] in COLUMNS["results"] else "verdicts"
+    place = "record_id, node, parent, up parent_ordinal, i ordinal"
+    flat = "case when json_type(e, '$.{0}') not in ('OBJECT', 'ARRAY', 'NULL') then try_cast(json_extract_string(e, '$.{0}') as {1}) end \"{0}\""
+    kinds = {"string": "varchar"}
+    own = [f'e."{f}" "{f}"' for f in fields]
+    theirs = [flat.format(f, kinds.get(k, k)) for f, k in fields.items()]
+    bare = "e::varchar" if not fields else "null::varchar"
+    return f"""with {_WIRE} select {", ".join([f"'{table}' source_table", place, bare + ' "value"', *own])} from {typed}
+        union all select {", ".join(["'wire_records'", place, "case when json_type(e) <> 'OBJECT' then json_extract_string(e, '$') end", *theirs])} from {wire}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    each = lambda table, array: f"(select record_id, unnest({array}) e, unnest(generate_series(1, len({array}))) i from {table})"
-    raw = each("verdicts", "judge.raw")
-    return {
-        "p1_found": _found_sql(),
-        "p1_checks": f"""select record_id, '$.checks[' || (i-1) || ']' node, '$' parent, null::int parent_ordinal, (i-1)::int ordinal,
-            e.kind kind, e.passed passed, e.detail detail, e.fatal fatal from {each("verdicts", "checks")} where e is not null""",
-        "p1_diagnostics": f"""select record_id, '$.diagnostics[' || (i-1) || ']' node, '$' parent, null::int parent_ordinal, (i-1)::int ordinal,
-            e.severity severity, e.message message, e.line line, e."column" "column", e.kind kind from {each("results", "diagnostics")} where e is not null""",
-        "p1_judges": """select record_id, '$.judge' node, '$' parent, null::int parent_ordinal, null::int ordinal, judge.label "label",
-            judge.reasoning reasoning, judge.confidence confidence, judge.aggregation aggregation from verdicts where judge is not null""",
-        "p1_usage": """select record_id, '$.judge.usage' node, '$.judge' parent, null::int parent_ordinal, null::int ordinal,
-            judge.usage.input_tokens input_tokens, judge.usage.output_tokens output_tokens, judge.usage.calls calls, judge.usage.model model
-            from verdicts where judge.usage is not null""",
-        "p1_calls": f"""select record_id, '$.judge.raw[' || (i-1) || ']' node, '$.judge' parent, null::int parent_ordinal, (i-1)::int ordinal,
-            e.call_id call_id, e.model model from {raw} where e is not null""",
-        "p1_blocks": f"""select record_id, '$.judge.raw[' || (i-1) || '].blocks[' || (j-1) || ']' node, '$.judge.raw[' || (i-1) || ']' parent,
-            (i-1)::int parent_ordinal, (j-1)::int ordinal, b.type "type", b.body body from (select record_id, i, unnest(e.blocks) b,
-            unnest(generate_series(1, len(e.blocks))) j from {raw}) where b is not null""",
-    }
+    return {"p1_found": _found_sql(), **{name: _table_sql(*TABLES[name]) for name in TABLES}}

@@ -36,16 +36,16 @@ def test_shred_of_empty_null_and_repeated(spark):
     assert shred(df.limit(0), ["id"], ["items"]).count() == 0
     # repeated rows give repeated nodes, and one entity per node of the key
     assert shred(df.where("id = 4"), ["id"], ["items"]).where("node = '$.items[0]'").count() == 2
-    assert entities(shred(df.where("id = 4"), ["id"], ["items"]), ["id"], "items", {"name": "string"}).count() == 1
+    assert entities(shred(df.where("id = 4"), ["id"], ["items"]), ["id"], {"items": {"name": "string"}}).count() == 1
 
 
 def test_entities_pivot_and_cast(spark):
     adj = shred(rows_of(spark).where("id = 1"), ["id"], ["items"])
-    got = entities(adj, ["id"], "items", {"name": "string"}).orderBy("ordinal").collect()
+    got = entities(adj, ["id"], {"items": {"name": "string"}}).orderBy("ordinal").collect()
     assert [(r["ordinal"], r["name"]) for r in got] == [(0, "a"), (2, None)]
-    deep = entities(adj, ["id"], "items.deep", {"x": "int", "missing": "int"}).collect()
+    deep = entities(adj, ["id"], {"items.deep": {"x": "int", "missing": "int"}}).collect()
     assert [(r["x"], r["missing"], r["parent"], r["parent_ordinal"]) for r in deep] == [(1, None, "$.items[0]", 0)]
-    tags = entities(adj, ["id"], "items.tags", {}).orderBy("ordinal").collect()
+    tags = entities(adj, ["id"], {"items.tags": {}}).orderBy("ordinal").collect()
     assert [(r["ordinal"], r["value"]) for r in tags] == [(0, "t"), (2, "t")]
 
 

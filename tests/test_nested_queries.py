@@ -26,13 +26,13 @@ def test_tables_hold_every_source_and_field(spark, tmp_path):
     tables(spark, str(tmp_path))
     run = lambda name, *columns: sorted(tuple(r[c] for c in ("source_table", "record_id", "node", *columns)) for r in Q.queries()[name](spark, str(tmp_path)).collect())
     v, r, w = "verdicts", "results", "wire_records"
-    assert run("p1_all_checks", "kind", "passed", "fatal") == [(v, 1, "$.checks[0]", "k", True, False), (w, 1, "$.checks", "w", False, None)]
-    assert run("p1_all_diagnostics", "ordinal", "message", "line") == [(r, 1, "$.diagnostics[1]", 1, "m", 3), (w, 2, "$.diagnostics[0]", 0, "w", 7)]
-    assert run("p1_all_soundness", "ok") == [(r, 1, "$.soundness", False), (r, 2, "$.soundness", None), (w, 2, "$.soundness", True)]
-    assert run("p1_all_violations", "parent", "ordinal", "value") == [(r, 1, "$.soundness.violations[0]", "$.soundness", 0, "v"), (w, 2, "$.soundness.violations", "$.soundness", 0, "x")]
-    assert run("p1_all_judges", "label", "confidence") == [(v, 1, "$.judge", "pass", 0.5), (w, 1, "$.judge", "fail", None)]
-    assert run("p1_all_samples", "ordinal", "value") == [(v, 1, "$.judge.samples[0]", 0, "a"), (v, 1, "$.judge.samples[2]", 2, "b"), (w, 1, "$.judge.samples", 0, "one")]
-    fields = list(Q.ALL_TABLES["p1_all_usage"][1])
-    assert run("p1_all_usage", *fields) == [(v, 1, "$.judge.usage", 1, 2, 3, 4, 5, 0.25, "m"), (w, 1, "$.judge.usage", 10, 20, 30, 40, 1, 0.5, "w")]
-    assert run("p1_all_calls", "ordinal", "call_id") == [(v, 1, "$.judge.raw[0]", 0, "c0"), (w, 1, "$.judge.raw[1]", 1, "c")]
-    assert run("p1_all_blocks", "parent_ordinal", "ordinal", "body") == [(v, 1, "$.judge.raw[0].blocks[1]", 0, 1, "hi"), (w, 1, "$.judge.raw[1].blocks", 1, 0, "b")]
+    assert run("p1_checks", "kind", "passed", "fatal") == [(v, 1, "$.checks[0]", "k", True, False), (w, 1, "$.checks", "w", False, None)]
+    assert run("p1_diagnostics", "ordinal", "message", "line") == [(r, 1, "$.diagnostics[1]", 1, "m", 3), (w, 2, "$.diagnostics[0]", 0, "w", 7)]
+    assert run("p1_soundness", "ok") == [(r, 1, "$.soundness", False), (r, 2, "$.soundness", None), (w, 2, "$.soundness", True)]
+    assert run("p1_violations", "parent", "ordinal", "value") == [(r, 1, "$.soundness.violations[0]", "$.soundness", 0, "v"), (w, 2, "$.soundness.violations", "$.soundness", 0, "x")]
+    assert run("p1_judges", "label", "confidence") == [(v, 1, "$.judge", "pass", 0.5), (w, 1, "$.judge", "fail", None)]
+    assert run("p1_samples", "ordinal", "value") == [(v, 1, "$.judge.samples[0]", 0, "a"), (v, 1, "$.judge.samples[2]", 2, "b"), (w, 1, "$.judge.samples", 0, "one")]
+    fields = list(Q.TABLES["p1_usage"][1])
+    assert run("p1_usage", *fields) == [(v, 1, "$.judge.usage", 1, 2, 3, 4, 5, 0.25, "m"), (w, 1, "$.judge.usage", 10, 20, 30, 40, 1, 0.5, "w")]
+    assert run("p1_calls", "ordinal", "call_id") == [(v, 1, "$.judge.raw[0]", 0, "c0"), (w, 1, "$.judge.raw[1]", 1, "c")]
+    assert run("p1_blocks", "parent_ordinal", "ordinal", "body") == [(v, 1, "$.judge.raw[0].blocks[1]", 0, 1, "hi"), (w, 1, "$.judge.raw[1].blocks", 1, 0, "b")]
