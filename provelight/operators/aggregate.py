@@ -195,9 +195,11 @@ def sample_duplication(df: DataFrame, task: str, text: Column) -> DataFrame:
     """One row: how far the samples of a task repeat one another.
 
     Tasks with one sample are left out.  Texts are compared without white space
-    at their ends; null texts count as empty.
+    at their ends, by 128 bits of hash; null texts count as empty.
     """
-    rows = df.select(F.col(task).alias("task"), F.coalesce(text, F.lit("")).alias("t"))
+    text = F.coalesce(text, F.lit(""))
+    bare = df.select(F.col(task).alias("task"), text.alias("_text"))
+    rows = bare.select("task", F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(3), "_text").alias("b")).alias("t"))
     # Two steps, so that a task with a third of all rows is pre-aggregated by text.
     by_text = rows.groupBy("task", "t").agg(F.count("*").alias("n"))
     by_task = by_text.groupBy("task").agg(F.sum("n").alias("n"), F.count("*").alias("d")).where("n > 1")

@@ -43,9 +43,14 @@ def failure_mode(status: Column, kind: Column, messages: Column, proof: Column,
     ``messages`` should be a column made by ``error_messages`` in a projection
     of its own: the rules below look at it up to 37 times.
     """
+    return failure_mode_of(status, kind, messages, is_blank(F.coalesce(proof, F.lit(""))), looks_truncated(proof), sound)
+
+
+def failure_mode_of(status: Column, kind: Column, messages: Column, blank: Column, truncated: Column, sound: Column) -> Column:
+    """``failure_mode`` from what it needs of the proof: whether that is blank, whether it looks truncated."""
     fallback = F.create_map(*[F.lit(x) for pair in dims.FAILURE_FALLBACK.items() for x in pair])
     cut = matches(messages, "unexpected end of input", True) | (
-        looks_truncated(proof) & ((messages == "") | matches(messages, "unexpected token|expected", True))
+        truncated & ((messages == "") | matches(messages, "unexpected token|expected", True))
     )
     by_kind = F.coalesce(F.try_element_at(fallback, F.coalesce(kind, F.lit("unknown"))), F.lit("unclassified"))
     return (
@@ -55,7 +60,7 @@ def failure_mode(status: Column, kind: Column, messages: Column, proof: Column,
         .when(status == "skipped", "language_mismatch")
         .when(kind.eqNullSafe("toolchain"), "toolchain_error")
         .when(kind.eqNullSafe("harness") | (status == "error"), "harness_error")
-        .when(is_blank(F.coalesce(proof, F.lit(""))), "empty_proof")
+        .when(blank, "empty_proof")
         .when(cut, "truncated_output")
         .otherwise(F.coalesce(first_match(messages, dims.FAILURE_PATTERNS, None), by_kind))
     )

@@ -37,6 +37,26 @@ def tactics(body: Column, language: str = "lean4") -> Column:
     return F.filter(names, lambda t: t.isin(*known))
 
 
+def size_measures(raw: Column) -> dict[str, Column]:
+    """Measures of a text as it stands, comments included, that built-in expressions can say; for texts that are not null."""
+    block = r"/-[\s\S]*?-/"
+    lines = lines_of(raw)
+    code = F.filter(F.transform(lines, strip), lambda x: x != "")
+    dashes = F.when(raw.contains("--"), F.regexp_count(F.regexp_replace(raw, block, " "), F.lit(r"--[^\n]*"))).otherwise(0)
+    return {
+        "chars": F.length(raw),
+        "lines": F.size(lines),
+        "max_line_chars": F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)),
+        "code_lines": F.size(code),
+        "tokens": count_of(raw, dims.TOKEN),
+        "line_comments": dashes,
+        "comment_segments": F.when(raw.contains("/-"), F.regexp_count(raw, F.lit(block))).otherwise(0) + dashes,
+        "calc_blocks": count_of(raw, r"\bcalc\b"),
+        "branch_points": count_of(raw, dims.BRANCH),
+        "distinct_code_lines": F.size(F.array_distinct(code)),
+    }
+
+
 def add_structure(df: DataFrame, text: str, language: str | Column = "lean4", vocabulary: str = "lean4", strip_: bool = True) -> DataFrame:
     """Adds ``tactics`` and ``structure`` (24 measures) of a text column.
 

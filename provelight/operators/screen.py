@@ -12,19 +12,6 @@ from provelight import dims
 from provelight.functions.lean import foreign_attributes, inherited_column, parse_column, strip_comments_column, top_level_arguments
 from provelight.functions.text import all_of, matches, strip
 
-_IMPORT = r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_.']*)"
-_DECLARED = (
-    r"(?m)^\s*(?:@\[[^\]]*\]\s*)?(?:private\s+|protected\s+|local\s+|scoped\s+|noncomputable\s+|unsafe\s+|partial\s+)*"
-    r"(?:def|abbrev|instance|structure|inductive|class|opaque|axiom|constant)\s+([A-Za-z_À-￿][A-Za-z0-9_'À-￿.]*)"
-)
-_NOTATION = (
-    r"(?m)^\s*(?:@\[[^\]]*\]\s*)?(?:local\s+|scoped\s+)?"
-    r"(notation|macro_rules|macro|syntax|infixl|infixr|infix|prefix|postfix)\b"
-)
-_OPEN = r"(?m)^\s*(?:local\s+|scoped\s+)?open\s+([^\n]+)"
-_EXTENSION = r"\b(notation|infixl|infixr|infix|prefix|postfix|macro_rules|macro|syntax|declare_syntax_cat|elab_rules|elab|run_tac)\b"
-
-
 def label(hack_class: str | Column, rule: str | Column, message: str | Column) -> Column:
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.concat(F.lit("["), as_col(hack_class), F.lit(":"), as_col(rule), F.lit("] "), as_col(message))
@@ -44,15 +31,15 @@ def normal_statement(stripped: Column) -> Column:
 
 def statement_names(stripped: Column) -> Column:
     """Names a statement depends on, without its own name and common ones."""
-    rest = F.regexp_replace(stripped, r"^\s*(?:theorem|lemma|example)\s+\S+", " ")
-    names = F.array_distinct(all_of(rest, r"[A-Za-z_][A-Za-z0-9_'.]*"))
+    rest = F.regexp_replace(stripped, dims.STATEMENT_HEAD, " ")
+    names = F.array_distinct(all_of(rest, dims.STATEMENT_NAME))
     return F.filter(names, lambda n: ~n.isin(*dims.COMMON_IDENTIFIERS) & (F.length(n) > 1))
 
 
 def homoglyph(body: Column) -> Column:
     """The first identifier that mixes ASCII letters with Cyrillic lookalikes."""
     mixed = lambda t: t.rlike(f"[{dims.CYRILLIC_LOOKALIKES}]") & t.rlike("[A-Za-z]")
-    first = F.get(F.filter(F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9_'Ѐ-ӿ]{2,}"), F.lit(0)), mixed), F.lit(0))
+    first = F.get(F.filter(F.regexp_extract_all(body, F.lit(dims.GLYPH_WORD), F.lit(0)), mixed), F.lit(0))
     return F.when(body.rlike(f"[{dims.CYRILLIC_LOOKALIKES}]"), first)
 
 
@@ -79,7 +66,7 @@ def add_violations(
     work = work.withColumn("_low", F.lower("_body"))
     body, low = F.col("_body"), F.col("_low")
     found: list[Column] = []
-    for rule, hack, languages, pattern, literals, _ in dims.SCREEN_RULES:
+    for rule, hack, languages, pattern, literals in dims.SCREEN_RULES:
         if hack not in classes:
             continue
         near = F.lit(False)
@@ -92,7 +79,7 @@ def add_violations(
         work = work.withColumn("_kept", inherited_column(body, F.nullif("_base", F.lit(""))))
         arrays = [F.filter(F.array(*found), lambda v: ~F.array_contains("_kept", label_parts(v)[1]))]
     if allowed_imports is not None and "new_axiom" in classes:
-        odd = F.filter(all_of(body, _IMPORT, 1), lambda m: ~F.substring_index(m, ".", 1).isin(*allowed_imports))
+        odd = F.filter(all_of(body, dims.IMPORT, 1), lambda m: ~F.substring_index(m, ".", 1).isin(*allowed_imports))
         notes = F.transform(odd, lambda m: label("new_axiom", "lean.unknown_import", F.concat(F.lit(f"{subject} imports "), m)))
         arrays.append(F.when((language == "lean4") & low.contains("import"), notes).otherwise(F.array().cast("array<string>")))
     if "homoglyph" in classes:
@@ -106,12 +93,12 @@ def add_violations(
         lean = language.isin("lean4", "lean3")
         work = work.withColumn("_names", statement_names(F.col("_req")))
         names = F.col("_names")
-        shadow = F.array_sort(F.array_intersect(F.when(lean, all_of(body, _DECLARED, 1)).otherwise(F.array().cast("array<string>")), names))
+        shadow = F.array_sort(F.array_intersect(F.when(lean, all_of(body, dims.DECLARED_NAME, 1)).otherwise(F.array().cast("array<string>")), names))
         note = F.concat(F.lit(f"{subject} redefines "), F.array_join(F.slice(shadow, 1, 4), ", "))
         arrays.append(F.array(F.when(asked & (F.size(shadow) > 0), label("definition_shadowing", "lean.redefines_statement_term", note))))
-        arrays.append(F.array(F.when(asked & matches(body, _NOTATION), label("definition_shadowing", "lean.notation_redefinition", f"{subject} introduces notation"))))
+        arrays.append(F.array(F.when(asked & matches(body, dims.NOTATION), label("definition_shadowing", "lean.notation_redefinition", f"{subject} introduces notation"))))
         bare = F.array_union(F.transform(names, lambda n: F.substring_index(n, ".", -1)), names)
-        opened = F.filter(all_of(body, _OPEN, 1), lambda o: ~matches(o, r"hiding\s+([^\n]+)"))
+        opened = F.filter(all_of(body, dims.OPEN, 1), lambda o: ~matches(o, r"hiding\s+([^\n]+)"))
         spaces = F.flatten(F.transform(opened, lambda o: all_of(F.substring_index(o, " in ", 1), r"[A-Za-z_][A-Za-z0-9_.']*")))
         hits = F.filter(spaces, lambda s: ~s.isin("hiding", "renaming", "in") & F.array_contains(bare, F.substring_index(s, ".", -1)))
         note_ = lambda s: label("definition_shadowing", "lean.open_shadows_statement", F.concat(F.lit(f"{subject} opens "), s))
@@ -188,7 +175,7 @@ def add_interface_report(df: DataFrame, source: str, module: Column, wants_value
         fault((signature != "") & ~signature.startswith(":"), "solution_binders", signature),
         fault((F.size(holes) > 0) & ~unproved, "incomplete_proof", F.array_join(holes, "; ")),
         fault(F.size(hacks) > 0, "reward_hacking", F.array_join(hacks, "; ")),
-        fault(matches(no_strings, _EXTENSION), "syntax_extension", F.lit("answer extends the syntax")),
+        fault(matches(no_strings, dims.EXTENSION), "syntax_extension", F.lit("answer extends the syntax")),
     ]
     faults_ = F.concat(
         F.filter(F.array(*faults), lambda f: f.isNotNull()),

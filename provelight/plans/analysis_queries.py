@@ -16,6 +16,7 @@ from provelight.operators import classify as C
 from provelight.operators import measure as M
 from provelight.operators import screen as S
 from provelight.operators import verdict as V
+from provelight.functions.text import is_blank
 from provelight.store import spread
 
 METRICS = ("chars", "lines", "tokens", "max_line_chars", "named_steps")
@@ -116,10 +117,15 @@ def failure_modes(spark, sf_dir):
     """Failure mode of every result, from its status, messages and proof."""
     r = _wide(spark, sf_dir, "results", "record_id", "attempt_id", "status", "error_kind", "diagnostics", "soundness.ok")
     # Rows delivered again share an attempt_id: the first delivered proof stands for it.
-    first = _read(spark, sf_dir, "attempts").groupBy("attempt_id").agg(F.min_by("proof", "record_id").alias("proof"))
+    # Of its text two facts count, so two flags are aggregated and joined, not the text.
+    proof = F.coalesce("proof", F.lit(""))
+    flags = F.struct(is_blank(proof).alias("blank"), C.looks_truncated(proof).alias("truncated"))
+    first = _wide(spark, sf_dir, "attempts", "attempt_id", "record_id", "proof").select("attempt_id", "record_id", flags.alias("f"))
+    first = first.groupBy("attempt_id").agg(F.min_by("f", "record_id").alias("f"))
     r = r.withColumn("messages", C.error_messages(F.col("diagnostics"))).drop("diagnostics")
     both = r.join(first, "attempt_id", "left")
-    mode = C.failure_mode(F.col("status"), F.col("error_kind"), F.col("messages"), F.col("proof"), F.col("ok"))
+    blank, truncated = F.coalesce("f.blank", F.lit(True)), F.coalesce("f.truncated", F.lit(False))
+    mode = C.failure_mode_of(F.col("status"), F.col("error_kind"), F.col("messages"), blank, truncated, F.col("ok"))
     return both.select("record_id", mode.alias("mode"))
 
 
@@ -140,9 +146,10 @@ def truncated_look(spark, sf_dir):
 
 def proof_sizes(spark, sf_dir):
     """The measures of every proof as it stands, comments included."""
-    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof").where("proof is not null"), "proof", strip_=False)
+    df = _wide(spark, sf_dir, "attempts", "record_id", "proof")
     names = "chars lines max_line_chars code_lines tokens line_comments comment_segments calc_blocks branch_points distinct_code_lines".split()
-    return df.select("record_id", *[F.col(f"structure.{n}").alias(n) for n in names])
+    sizes = M.size_measures(F.coalesce("proof", F.lit("")))
+    return df.select("record_id", *[sizes[n].alias(n) for n in names])
 
 
 def proof_structure(spark, sf_dir):
@@ -152,7 +159,7 @@ def proof_structure(spark, sf_dir):
 
 
 def proof_repetition(spark, sf_dir):
-    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof").where("proof is not null"), "proof", strip_=False)
+    df = M.add_structure(_wide(spark, sf_dir, "attempts", "record_id", "proof"), "proof", strip_=False)
     names = ("line_repetition_rate", "repeated_trigram_rate", "max_consecutive_duplicate_lines")
     return df.select("record_id", *[F.col(f"structure.{n}").alias(n) for n in names])
 
@@ -268,9 +275,12 @@ def latest_results(spark, sf_dir):
 
 
 def prover_messages(spark, sf_dir):
-    """Messages of provers in the standard output of runs, with kinds."""
-    df = C.parse_prover_log(_wide(spark, sf_dir, "container_runs", "run_id", "stdout").where("stdout is not null"), ["run_id"], "stdout")
-    return df.groupBy("severity", "kind").agg(F.count("*").alias("n"), F.sum("line").alias("line_sum"))
+    """Messages of provers in both streams of runs, with kinds."""
+    runs = _wide(spark, sf_dir, "container_runs", "run_id", "stdout", "stderr")
+    streams = F.explode(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).alias("log")) for s in ("stdout", "stderr")]))
+    logs = runs.select("run_id", streams.alias("s")).select("run_id", "s.*").where("log is not null")
+    df = C.parse_prover_log(logs, ["run_id", "stream"], "log")
+    return df.groupBy("stream", "severity", "kind").agg(F.count("*").alias("n"), F.sum("line").alias("line_sum"))
 
 
 def answers_split(spark, sf_dir):
@@ -353,11 +363,25 @@ _SPACE = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 _STRIP = lambda c: f"regexp_replace(regexp_replace({c}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 _FIRST_PROOF = "fp as (select attempt_id, arg_min(coalesce(proof, chr(0)), record_id) p from attempts group by attempt_id)"
 _MESSAGES = "array_to_string(list_transform(list_filter(diagnostics, lambda d: d is not null and d.severity = 'error'), lambda d: d.message), chr(10))"
+_ALL_PROOFS = "(select record_id, coalesce(proof, '') proof from attempts)"
 _TRUNC = f"""(rt <> '' and (len(regexp_extract_all(rt, '[(\\[{{⟨⦃]')) > len(regexp_extract_all(rt, '[)\\]}}⟩⦄]'))
  or regexp_matches(rt, '{_re2(dims.TRUNCATED_TAIL)}')))"""
 _RT = lambda c: f"regexp_replace({c}, '{_SPACE}+$', '')"
 
 
+# A text without comments, for texts whose comments do not nest and whose strings hold none.
+_BARE = lambda c: f"regexp_replace(regexp_replace(coalesce({c}, ''), '/-(.|\\n)*?(-/|\\z)', ' ', 'g'), '--[^\\n]*', ' ', 'g')"
+_ROOTS = _quoted(dims.ALLOWED_IMPORTS)
+_ODD_IMPORTS = f"case when language = 'lean4' then len(list_filter(regexp_extract_all(b, '{_re2(dims.IMPORT)}', 1), lambda m: string_split(m, '.')[1] not in ({_ROOTS}))) else 0 end"
+_GLYPH = f"len(list_filter(regexp_extract_all(b, '{_re2(dims.GLYPH_WORD)}'), lambda w: regexp_matches(w, '[{dims.CYRILLIC_LOOKALIKES}]') and regexp_matches(w, '[A-Za-z]'))) > 0"
+
+
+def _fired(classes) -> str:
+    """How many rules of these classes match ``b``, a text without comments in ``language``."""
+    rules = [(languages, pattern) for _, hack, languages, pattern, _ in dims.SCREEN_RULES if hack in classes]
+    return " + ".join(f"(language in ({_quoted(languages)}) and regexp_matches(b, '{_re2(pattern)}'))::int" for languages, pattern in rules)
+
+
 def oracle_sql() -> dict[str, str]:
     twins = _twins()
     for name, columns in ROUNDED.items():
@@ -432,7 +456,7 @@ def _twins() -> dict[str, str]:
         "invented_names": f"""with d as (select unnest(diagnostics) d from results), n as (select unnest(regexp_extract_all(d.message, '(?i){_re2(dims.INVENTED_NAME)}', 1)) "name" from d)
  select "name", count(*) n from n group by "name\"""",
         "truncated_look": f"with r as (select record_id, {_RT('proof')} rt from attempts where proof is not null) select record_id, {_TRUNC} truncated from r",
-        "proof_sizes": f"""with a as (select record_id, proof, {lines} ls, regexp_replace(proof, '/-(.|\\n)*?-/', ' ', 'g') nb from attempts where proof is not null),
+        "proof_sizes": f"""with a as (select record_id, proof, {lines} ls, regexp_replace(proof, '/-(.|\\n)*?-/', ' ', 'g') nb from {_ALL_PROOFS}),
  b as (select *, {code} code from a)
  select record_id, length(proof)::int chars, len(ls)::int lines, coalesce(list_max(list_transform(ls, lambda x: length(x))), 0)::int max_line_chars, len(code)::int code_lines,
  len(regexp_extract_all(proof, '{token}'))::int tokens, len(regexp_extract_all(nb, '--[^\\n]*'))::int line_comments,
@@ -482,14 +506,15 @@ def _twins() -> dict[str, str]:
  m as (select *, case when tail like chr(10) || '%' then st || {_RT("tail")} when {_STRIP("tail")} <> '' then st || ' ' || {_STRIP("tail")} else st end joined from l),
  s as (select record_id, case when assembly = 'full_file' then p else array_to_string(list_filter([h, case when assembly = 'header_plus_proof' then p else joined end],
  lambda x: {_STRIP("x")} <> ''), chr(10) || chr(10)) || chr(10) end s from m) select record_id, sha256(s) content_hash, length(s)::int chars from s""",
-        "proof_repetition": f"""with a as (select record_id, proof, {lines} ls from attempts where proof is not null), b as (select record_id, {code} c, regexp_extract_all(proof, '{token}') t from a),
+        "proof_repetition": f"""with a as (select record_id, proof, {lines} ls from {_ALL_PROOFS}), b as (select record_id, {code} c, regexp_extract_all(proof, '{token}') t from a),
  g as (select *, list_transform(generate_series(1, len(t) - 2), lambda i: t[i] || chr(1) || t[i + 1] || chr(1) || t[i + 2]) g from b),
  u as (select record_id, unnest(c) x, unnest(generate_series(1, len(c))) i from b), w as (select record_id, x, i - row_number() over (partition by record_id, x order by i) k from u),
  r as (select record_id, max(n) n from (select record_id, count(*) n from w group by record_id, x, k) group by record_id)
  select g.record_id, case when len(c) = 0 then 0.0 else 1 - len(list_distinct(c)) / len(c) end line_repetition_rate,
  case when len(t) < 3 then 0.0 else 1 - len(list_distinct(g)) / len(g) end repeated_trigram_rate,
  case when coalesce(n, 0) > 1 then n else 0 end::int max_consecutive_duplicate_lines from g left join r using (record_id)""",
-        "screened_statements": "select task_id, 0::int n_violations from tasks",
+        "screened_statements": f"""with t as (select task_id, language, {_BARE("concat_ws(chr(10), header, formal_statement)")} b from tasks)
+ select task_id, ({_fired(dims.STATEMENT_CLASSES)} + {_ODD_IMPORTS} + ({_GLYPH})::int)::int n_violations from t""",
         "statement_complexity": f"""with h as (select task_id, string_split(formal_statement, ':=')[1] h from tasks),
  b as (select task_id, h, regexp_extract_all(h, '{_re2(dims.BINDER)}', 1) o, list_transform(regexp_extract_all(h, '{_re2(dims.BINDER)}', 3), lambda x: trim(x)) t,
  regexp_extract_all(h, '{_re2(dims.INSTANCE_BINDER)}', 1) ib from h)
@@ -499,13 +524,15 @@ def _twins() -> dict[str, str]:
  len(regexp_extract_all(h, '{_re2(dims.QUANTIFIER)}'))::int quantifiers, len(regexp_extract_all(h, '{_re2(dims.CONNECTIVE)}'))::int connectives,
  len(list_distinct(regexp_extract_all(h, '{_re2(dims.QUALIFIED)}', 1)))::int cited_definitions,
  len(list_distinct(list_filter(list_concat(t, ib), lambda x: x <> '')))::int distinct_types, len(regexp_extract_all(h, '{token}'))::int total_tokens,
- case when regexp_matches(h, '[(\\[{{⟨⦃]') then 1 else 0 end max_nesting_depth from b""",
-        "prover_messages": f"""with l as (select run_id, unnest(regexp_split_to_array(stdout, '\\r\\n|\\n')) raw, unnest(generate_series(1, len(regexp_split_to_array(stdout, '\\r\\n|\\n')))) i from container_runs where stdout is not null),
- s as (select run_id, i, {_STRIP("raw")} x, raw from l), g as (select *, regexp_matches(x, '{_re2(dims.PROVER_LINE)}') o, sum(regexp_matches(x, '{_re2(dims.PROVER_LINE)}')::int) over (partition by run_id order by i) k from s),
- m as (select run_id, k, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 4) end) severity, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 5) end) f,
- max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 2)::int end) line, string_agg(raw, chr(10) order by i) filter (not o) rest from g where k > 0 group by run_id, k),
- n as (select severity, line, {_cases("f", dims.ERROR_KINDS, "null")} k1, {_cases("f || chr(10) || coalesce(rest, '')", dims.ERROR_KINDS, "'unknown'")} k2 from m)
- select severity, case when severity = 'error' then coalesce(k1, k2) end kind, count(*) n, sum(line)::bigint line_sum from n group by 1, 2""",
+ coalesce(list_max(list_transform(generate_series(1, len(k)), lambda i: list_reduce(list_prepend(0, list_slice(k, 1, i)),
+ lambda d, x: greatest(0, d + x)))), 0)::int max_nesting_depth from (select *, list_transform(regexp_extract_all(h, '[(\\[{{⟨⦃)\\]}}⟩⦄]'), lambda c: case when c in ('(', '[', '{{', '⟨', '⦃') then 1 else -1 end) k from b)""",
+        "prover_messages": f"""with c as (select run_id, 'stdout' stream, stdout t from container_runs union all select run_id, 'stderr', stderr from container_runs),
+ l as (select run_id, stream, unnest(regexp_split_to_array(t, '\\r\\n|\\n')) raw, unnest(generate_series(1, len(regexp_split_to_array(t, '\\r\\n|\\n')))) i from c where t is not null),
+ s as (select run_id, stream, i, {_STRIP("raw")} x, raw from l), g as (select *, regexp_matches(x, '{_re2(dims.PROVER_LINE)}') o, sum(regexp_matches(x, '{_re2(dims.PROVER_LINE)}')::int) over (partition by run_id, stream order by i) k from s),
+ m as (select run_id, stream, k, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 4) end) severity, max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 5) end) f,
+ max(case when o then regexp_extract(x, '{_re2(dims.PROVER_LINE)}', 2)::int end) line, string_agg(raw, chr(10) order by i) filter (not o) rest from g where k > 0 group by run_id, stream, k),
+ n as (select stream, severity, line, {_cases("f", dims.ERROR_KINDS, "null")} k1, {_cases("f || chr(10) || coalesce(rest, '')", dims.ERROR_KINDS, "'unknown'")} k2 from m)
+ select stream, severity, case when severity = 'error' then coalesce(k1, k2) end kind, count(*) n, sum(line)::bigint line_sum from n group by 1, 2, 3""",
         "answers_split": "select t.task_id is not null recognized, count(*) n from results r left join tasks t using (task_id) group by 1",
         "repeated_tactics": """with a as (select task_id, unnest(tactics) tactic, sample_index from results), b as (select task_id, tactic, count(*) n, count(*) filter (sample_index = 0) b from a group by all)
  select task_id, tactic, n - b extra from b where n > b""",

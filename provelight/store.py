@@ -3,7 +3,8 @@
 A plan whose intermediate result is read more than once is cut by writing that
 result as Parquet into the folder all executors share.  The folder is the one
 the session names in ``spark.checkpoint.dir``; only a session without that
-setting (unit tests, a laptop) gets a temporary folder of its own.
+setting whose master is local (unit tests, a laptop) gets a temporary folder of
+its own; on a cluster a session without it is refused.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
     if named:
         return named.rstrip("/")
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share; a machine's own folder would lose rows")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="provelight-"))
     return "file://" + _own[0]
@@ -56,9 +60,7 @@ def sweep() -> int:
 
 
 def _at_exit() -> None:
-    for _, path in _written:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    sweep()  # by the file system of the folder while the session lives, else what is local
     for path in _own:
         shutil.rmtree(path, ignore_errors=True)
 

@@ -65,8 +65,40 @@ def test_statement_by_hand(spark):
     assert set(s[1]) == {0}
 
 
+CAUGHT = {
+    "lean.sorry": "lemma half (k : Nat) : 2 ∣ k := by\n  refine ⟨_, sorry⟩",
+    "lean.sorry_ax": "def gap : 1 = 2 := sorryAx (1 = 2) false",
+    "lean.admit": "lemma later : p ∧ q := by\n  constructor <;> admit",
+    "coq.admitted": "Lemma later : forall n, n = n.\nintros. give_up.\nAdmitted.",
+    "isabelle.sorry": 'theorem later: "x = x"\n  oops',
+    "generic.todo_placeholder": "step 3 is still FIXME",
+    "lean.axiom": "@[simp] private axiom wish : 0 = 1",
+    "lean.constant": "  constant wish : Nat → Nat",
+    "lean.opaque": "opaque hidden (n : Nat) : Nat",
+    "coq.assumption_decl": "Parameter wish : nat -> Prop.",
+    "isabelle.axiomatization": "consts wish :: nat",
+    "lean.native_decide": "example : 97 * 89 = 8633 := by native_decide",
+    "lean.skip_kernel_tc": "set_option debug.skipKernelTC true in\nexample : p := q",
+    "lean.implemented_by": "@[inline, implemented_by quick] def slow (n : Nat) := n",
+    "lean.extern": '@[extern "other_add"] def plus (a b : Nat) := a',
+    "lean.unsafe": "unsafe inductive Loop | mk : Loop",
+    "lean.partial_def": "partial def spin (n : Nat) := spin (n + 1)",
+    "lean.trust_compiler": "exact Lean.ofReduceNat a b rfl",
+    "coq.guard_checking": "Unset  Universe Checking.",
+    "lean.heartbeats_off": "set_option  maxHeartbeats 0 in",
+    "lean.binder_annotations_off": "set_option checkBinderAnnotations false in",
+    "lean.auto_implicit": "set_option relaxedAutoImplicit true",
+    "lean.structure_eta_off": "set_option backward.synthInstance true",
+    "lean.hash_exit": "example : p := q\n  #exit\nnever read",
+    "lean.proof_wanted": "proof_wanted fermat (n : Nat) : 2 < n → p n",
+    "lean.variable_injection": "variable {K : Type} [Field K]",
+    "lean.elab_metaprogramming": "run_cmd logInfo m",
+    "lean.compile_time_eval": "#eval 2 + 2",
+}
+
+
 def test_every_screen_rule_catches_its_example_only_in_its_languages(spark):
-    rows = [(rule, langs[0], example) for rule, _, langs, _, _, example in dims.SCREEN_RULES]
+    rows = [(rule, langs[0], CAUGHT[rule]) for rule, _, langs, _, _ in dims.SCREEN_RULES]
     df = spark.createDataFrame([*rows, ("none", "lean4", "theorem t : p := by simp -- sorry"), ("none", "lean4", None)], "rule string, lang string, src string")
     for r in S.add_violations(df, "src", F.col("lang"), allowed_imports=None).collect():
         found = [re.match(dims.LABEL, v).group(2) for v in r["violations"]]
