@@ -133,6 +133,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, per_packer: int = PE
     distinct bigints.
     """
     sizes = df.select(F.col(key).cast("bigint").alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_s"))
+    sizes = keep(sizes, "sizes")  # read twice below; measuring may be dear
     pieces = keep(
         sizes.where("_s > 0")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_s - 1) div {capacity} as int)"))))
