@@ -1,4 +1,4 @@
-"""Command line: grade a folder, audit a problem set, list verifiers.
+"""Command line: grade a folder, audit a problem set or its health, list verifiers and judges, examine the surroundings.
 
 Exit codes: 0 done, 2 bad input, 5 with --strict and an unsolved answer, 130 interrupted.
 """
@@ -11,9 +11,10 @@ import sys
 
 from pyspark.sql import functions as F
 
+from provelight.operators import verdict as V
 from provelight.plans import grade as G
 from provelight.session import local_session
-from provelight.sources.folders import problem_metadata, read_manifest, read_problems, read_submissions
+from provelight.sources.folders import environment_mismatches, observed_environment, problem_metadata, project_versions, read_manifest, read_problems, read_submissions
 from provelight.sources.runs import text_table
 
 
@@ -43,7 +44,14 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--strict", action="store_true")
     a = sub.add_parser("audit", help="what a problem folder records about its problems")
     a.add_argument("benchmark")
+    h = sub.add_parser("health", help="what is wrong with the problems themselves")
+    h.add_argument("benchmark")
+    h.add_argument("--probes", help="table (Parquet) of recorded probes: task_id, probe, status")
+    h.add_argument("--strict", action="store_true", help="exit with 5 if a problem is ungradeable or suspect")
+    d = sub.add_parser("doctor", help="declared and observed pins of a benchmark folder")
+    d.add_argument("benchmark")
     sub.add_parser("verifiers", help="known verifiers")
+    sub.add_parser("judges", help="known judges")
     return top
 
 
@@ -53,12 +61,29 @@ def main(args: list[str] | None = None) -> int:
         if got.command == "verifiers":
             print("\n".join(G.available()))
             return 0
+        if got.command == "judges":
+            print("\n".join(G.judges.available()))
+            return 0
         spark = local_session("*")
+        if got.command == "doctor":
+            manifest = read_manifest(got.benchmark)
+            print(text_table(observed_environment(spark, got.benchmark)))
+            wrong = environment_mismatches(manifest, project_versions(got.benchmark))
+            print("\n".join(wrong or ["nothing declared is unmet"]))
+            return 5 if wrong else 0
         problems = read_problems(spark, got.benchmark)
         if got.command == "audit":
             facts = problem_metadata(problems).select("problem_id", "theorem_name", "has_provenance", "answer_holes")
             print(text_table(facts, 50, ["problem_id"]))
             return 0
+        if got.command == "health":
+            tasks = problems.select(F.col("problem_id").alias("task_id"), F.col("source").alias("formal_statement"), F.lit("").alias("header"), F.lit("lean4").alias("language"))
+            probed = spark.read.parquet(got.probes) if got.probes else spark.createDataFrame([], "task_id string, probe string, status string")
+            found = G.problem_health(tasks, probed)
+            print(text_table(found.groupBy("state").count(), 10, ["state"]), text_table(V.health_summary(found, "checks"), 10, ["kind"]), sep="\n\n")
+            bad = found.where("state in ('ungradeable', 'suspect')")
+            print(text_table(bad.select("task_id", "state"), 50, ["task_id"]))
+            return 5 if got.strict and not bad.isEmpty() else 0
         verifier = G.create(got.verifier, **_options(got.option))
         folder, made = G.run(got.out, problems, read_submissions(spark, got.submissions, problems), verifier, read_manifest(got.benchmark).policy)
         print(text_table(made.summary), text_table(made.leaderboard, 20, [F.col("rank").asc_nulls_last()]), text_table(made.reasons, 8), folder.root, sep="\n\n")

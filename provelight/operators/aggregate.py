@@ -211,18 +211,21 @@ def sample_duplication(df: DataFrame, task: str, text: Column) -> DataFrame:
     ).withColumn("undermines_pass_at_k", (F.col("mean_duplicate_fraction") >= 0.25) | (F.col("tasks_all_identical") > 0))
 
 
-def leaderboard(df: DataFrame, participant: str, problem: str, solved: Column, total_problems: int | None = None) -> DataFrame:
+def leaderboard(df: DataFrame, participant: str, problem: str, solved: Column, total_problems: int | None = None, flagged: Column | None = None) -> DataFrame:
     """(rank, participant, solved, attempted, rejected, not_attempted) by falling number of solved problems.
 
+    With ``flagged`` also how many answers of a participant are worth a look.
+
     Ties: fewer attempts first, then the name.  The ranking sorts participants,
     not answers.
     """
     per = df.groupBy(F.col(participant).alias("participant")).agg(
-        F.count_if(solved).alias("solved"), F.count("*").alias("attempted"), F.countDistinct(problem).alias("_tried")
+        F.count_if(solved).alias("solved"), F.count("*").alias("attempted"), F.countDistinct(problem).alias("_tried"),
+        *([F.count_if(flagged).alias("flagged")] if flagged is not None else []),
     )
     rank = F.row_number().over(Window.orderBy(F.desc("solved"), "attempted", "participant"))
     missing = F.lit(None).cast("bigint") if total_problems is None else F.greatest(F.lit(0), F.lit(total_problems) - F.col("_tried"))
-    return per.select(rank.alias("rank"), "participant", "solved", "attempted", (F.col("attempted") - F.col("solved")).alias("rejected"), missing.alias("not_attempted"))
+    return per.select(rank.alias("rank"), "participant", "solved", "attempted", (F.col("attempted") - F.col("solved")).alias("rejected"), missing.alias("not_attempted"), *(["flagged"] if flagged is not None else []))
 
 
 def problem_stats(problems: DataFrame, df: DataFrame, problem: str, solved: Column, failed_at: Column, compiled: Column) -> DataFrame:

@@ -134,11 +134,12 @@ def foreign_imports(modules: Column, allowed: Sequence[str], own: Column) -> Col
     return F.filter(modules, lambda m: (m != own) & ~fine(m)) if allowed else F.filter(modules, lambda m: m != own)
 
 
-def add_interface_report(df: DataFrame, source: str, module: Column, wants_value: Column, allowed_imports: Sequence[str] | None = None) -> DataFrame:
+def add_interface_report(df: DataFrame, source: str, module: Column, wants_value: Column, allowed_imports: Sequence[str] | None = None, allow_instances: bool = True) -> DataFrame:
     """Adds ``faults`` array<struct<fault, detail>>, ``submitted_arguments``, ``helper_count`` and ``solution_body`` of an answer file.
 
     Faults come in one fixed order: what cannot be read, the solution missing or
-    unproved, namespaces, binders, placeholders and hacks, extensions, imports.
+    unproved, namespaces, binders, placeholders and hacks, extensions, imports,
+    instances where the policy forbids them.
     """
     @F.pandas_udf("array<string>")
     def arguments(signature: pd.Series) -> pd.Series:
@@ -184,6 +185,10 @@ def add_interface_report(df: DataFrame, source: str, module: Column, wants_value
     if allowed_imports is not None:
         bad = foreign_imports(F.col("_file.imports"), allowed_imports, module)
         faults_ = F.concat(faults_, F.filter(F.array(fault(F.size(bad) > 0, "import_not_allowed", F.array_join(F.slice(bad, 1, 4), ", "))), lambda f: f.isNotNull()))
+    if not allow_instances:
+        own = F.exists(decls, lambda d: d["kind"] == "instance")
+        forbidden = fault(own, "instance_not_allowed", F.lit("the policy forbids global instances"))
+        faults_ = F.concat(faults_, F.filter(F.array(forbidden), lambda f: f.isNotNull()))
     return (
         work.withColumn("faults", faults_)
         .withColumn("submitted_arguments", arguments(sol["signature"]))

@@ -109,7 +109,7 @@ def usage_totals(df: DataFrame, usage: str) -> DataFrame:
 
 
 def health(checks: Column) -> Column:
-    """ungradeable, suspect, clean or unprobed, from checks with three-valued ``passed``."""
+    """ungradeable, suspect, clean or unprobed, from checks with three-valued ``passed``; no checks are unprobed."""
     some = lambda cond: F.coalesce(F.exists(checks, cond), F.lit(False))
     failed = lambda c: c["passed"].eqNullSafe(F.lit(False))
     return (
@@ -120,6 +120,39 @@ def health(checks: Column) -> Column:
     )
 
 
+CHECK = "struct<kind: string, passed: boolean, detail: string, fatal: boolean>"
+
+
+def probe_checks(violations: Column, probes: Column, has_gold: Column) -> Column:
+    """Health checks of a statement from its screening and the recorded outcomes of its probes.
+
+    ``probes`` maps a probe's name to its status; one that is missing, an error or
+    skipped leaves its question open (NULL).  A statement that does not elaborate
+    is fatal and leaves the questions behind it open.  A cheap proof is an
+    observation; a contradiction among hypotheses is fatal; cheap tactics that
+    find neither establish nothing.
+    """
+    said = lambda name: F.try_element_at(probes, F.lit(name))
+    ran = lambda name: said(name).isNotNull() & ~said(name).isin("error", "skipped")
+    stuck = F.coalesce(ran("elaborates") & (said("elaborates") != "verified"), F.lit(False))
+    closed = lambda name: ~stuck & ran(name) & (said(name) == "verified")
+
+    def check(kind: str, passed: Column, detail: Column | str, fatal: Column | bool = False) -> Column:
+        as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(F.lit(kind).alias("kind"), passed.alias("passed"), as_col(detail).alias("detail"), as_col(fatal).alias("fatal")).cast(CHECK)
+
+    none = F.lit(None).cast("boolean")
+    whole = F.when(ran("elaborates"), said("elaborates") == "verified")
+    checks = [
+        check("assumes_nothing", F.size(violations) == 0, F.array_join(violations, "; "), F.size(violations) > 0),
+        check("elaborates", whole, F.coalesce(said("elaborates"), F.lit("not probed")), stuck),
+        check("non_trivial", F.when(closed("trivial"), False).otherwise(none), F.when(closed("trivial"), "a cheap tactic closes it").otherwise("not established")),
+        check("non_vacuous", F.when(closed("vacuous"), False).otherwise(none), F.when(closed("vacuous"), "its hypotheses contradict one another").otherwise("not established"), F.coalesce(closed("vacuous"), F.lit(False))),
+    ]
+    gold = check("gold_equivalent", F.when(closed("gold_equivalent"), True).otherwise(none), F.when(closed("gold_equivalent"), "equivalent to the reference").otherwise("not established"))
+    return F.concat(F.array(*checks), F.when(has_gold & ~stuck, F.array(gold)).otherwise(F.array().cast(f"array<{CHECK}>")))
+
+
 def health_summary(df: DataFrame, checks: str) -> DataFrame:
     """(kind, n, passed, failed, open, fatal_failures) over all checks that are not null."""
     rows = df.select(F.explode(checks).alias("c")).where("c is not null").select("c.*")

@@ -16,7 +16,7 @@ from provelight.operators import classify as C
 from provelight.operators import measure as M
 from provelight.operators import screen as S
 from provelight.operators import verdict as V
-from provelight.functions.text import is_blank
+from provelight.functions.text import all_of, count_of, is_blank
 from provelight.store import spread
 
 METRICS = ("chars", "lines", "tokens", "max_line_chars", "named_steps")
@@ -130,9 +130,17 @@ def failure_modes(spark, sf_dir):
 
 
 def success_modes(spark, sf_dir):
-    r = _read(spark, sf_dir, "results")
-    mode = C.success_mode(F.col("tactics"), F.col("structure.named_steps"), F.col("structure.term_mode"))
-    return r.select("record_id", mode.alias("mode"))
+    """Kind of proof of every result, from its tactics and steps and from two counts over its attempt's proof."""
+    body = F.col("body")
+    counts = F.struct(
+        F.greatest(F.lit(0), F.size(all_of(body, dims.DECLARATION)) - 1).alias("auxiliary"), count_of(body, r"\bcalc\b").alias("calc")
+    )
+    bare = strip_comments_column(F.coalesce("proof", F.lit("")))
+    first = _wide(spark, sf_dir, "attempts", "attempt_id", "record_id", "proof").select("attempt_id", "record_id", bare.alias("body"))
+    first = first.select("attempt_id", "record_id", counts.alias("c")).groupBy("attempt_id").agg(F.min_by("c", "record_id").alias("c"))
+    r = _read(spark, sf_dir, "results").select("record_id", "attempt_id", "tactics", "structure.named_steps", "structure.term_mode")
+    mode = C.success_mode(F.col("tactics"), F.col("named_steps"), F.col("term_mode"), F.col("c.auxiliary"), F.col("c.calc"))
+    return r.join(first, "attempt_id", "left").select("record_id", mode.alias("mode"))
 
 
 def invented_names(spark, sf_dir):
@@ -382,6 +390,39 @@ def _fired(classes) -> str:
     return " + ".join(f"(language in ({_quoted(languages)}) and regexp_matches(b, '{_re2(pattern)}'))::int" for languages, pattern in rules)
 
 
+_ASSEMBLED = f"""k as (select *, regexp_replace(p, '^{_SPACE}+', '') led from j), l as (select *, case when st like '%:=' and led like ':=%' then substr(led, 3) else p end tail from k),
+ m as (select *, case when tail like chr(10) || '%' then st || {_RT("tail")} when {_STRIP("tail")} <> '' then st || ' ' || {_STRIP("tail")} else st end joined from l)"""
+_SOURCE = f"""case when assembly = 'full_file' then p else array_to_string(list_filter([h, case when assembly = 'header_plus_proof' then p else joined end],
+ lambda x: {_STRIP("x")} <> ''), chr(10) || chr(10)) || chr(10) end"""
+
+
+def _screened_sources() -> str:
+    """Rules, imports, lookalikes and the checks against a required statement, each stated on its own."""
+    rules = " union all ".join(
+        f"select language, '{rule}' rule from t where language in ({_quoted(languages)}) and regexp_matches(b, '{_re2(pattern)}')"
+        for rule, _, languages, pattern, _ in dims.SCREEN_RULES
+    )
+    one = lambda c: "regexp_replace(" + c + f", '{_SPACE}+', ' ', 'g')"
+    seam = lambda c: "regexp_replace(" + _STRIP(one(c)) + ", ':=\\s*(by\\b.*)?$', '')"
+    normal = lambda c: "regexp_replace(" + _STRIP(seam(c)) + ", '[:= ]+$', '')"
+    names = f"""list_filter(list_distinct(regexp_extract_all(regexp_replace(q, '{_re2(dims.STATEMENT_HEAD)}', ' '), '{_re2(dims.STATEMENT_NAME)}')),
+ lambda n: n not in ({_quoted(dims.COMMON_IDENTIFIERS)}) and length(n) > 1)"""
+    return f"""with j as (select language, coalesce(proof, '') p, assembly, {_RT("coalesce(header, '')")} h, {_RT("coalesce(formal_statement, '')")} st,
+ case when assembly <> 'continue_statement' then formal_statement end req from attempts join tasks using (task_id)), {_ASSEMBLED},
+ t as (select language, {_BARE("src")} b, case when req is not null then {_BARE("req")} end q from (select language, req, {_SOURCE} src from m)),
+ n as (select *, {names} ns from t where q is not null),
+ f as ({rules}
+ union all select language, 'lean.unknown_import' from t where {_ODD_IMPORTS} > 0
+ union all select language, 'generic.homoglyph_identifier' from t where {_GLYPH}
+ union all select language, 'generic.statement_altered' from n where {normal("q")} <> '' and not contains({normal("b")}, {normal("q")})
+ union all select language, 'lean.redefines_statement_term' from n where language in ('lean4', 'lean3') and list_has_any(regexp_extract_all(b, '{_re2(dims.DECLARED_NAME)}', 1), ns)
+ union all select language, 'lean.open_shadows_statement' from n where len(list_filter(flatten(list_transform(list_filter(regexp_extract_all(b, '{_re2(dims.OPEN)}', 1),
+ lambda o: not regexp_matches(o, 'hiding\\s+([^\\n]+)')), lambda o: regexp_extract_all(string_split(o, ' in ')[1], '{_re2(dims.STATEMENT_NAME)}'))),
+ lambda s: s not in ('hiding', 'renaming', 'in') and list_contains(list_concat(ns, list_transform(ns, lambda x: string_split(x, '.')[-1])), string_split(s, '.')[-1]))) > 0
+ union all select language, 'lean.notation_redefinition' from n where regexp_matches(b, '{_re2(dims.NOTATION)}'))
+ select language, rule, count(*) n from f group by language, rule"""
+
+
 def oracle_sql() -> dict[str, str]:
     twins = _twins()
     for name, columns in ROUNDED.items():
@@ -390,6 +431,14 @@ def oracle_sql() -> dict[str, str]:
     return twins
 
 
+def statement_health_sql() -> str:
+    """Twin of the query over statements and their recorded verdicts."""
+    return f"""with t as (select task_id, language, {_BARE("concat_ws(chr(10), header, formal_statement)")} b from tasks),
+ v as (select task_id, max(case status when 'ok' then 'verified' when 'unfaithful' then 'failed' else 'skipped' end) s from verdicts group by task_id)
+ select case when {_fired(dims.STATEMENT_CLASSES)} + {_ODD_IMPORTS} + ({_GLYPH})::int > 0 or coalesce(s, '') = 'failed' then 'ungradeable' else 'clean' end state, count(*) n
+ from t left join v using (task_id) group by 1"""
+
+
 def _twins() -> dict[str, str]:
     fallback = "case ek " + " ".join(f"when '{k}' then '{m}'" for k, m in dims.FAILURE_FALLBACK.items()) + " else 'unclassified' end"
     lines = "case when proof = '' then [] else regexp_split_to_array(regexp_replace(proof, '(\\r\\n|[\\n\\x{0B}\\f\\r\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}])\\z', ''), '\\r\\n|[\\n\\x{0B}\\f\\r\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]') end"
@@ -446,8 +495,10 @@ def _twins() -> dict[str, str]:
  when {_STRIP('proof')} = '' then 'empty_proof'
  when regexp_matches(msg, 'unexpected end of input', 'i') or ({_TRUNC} and (msg = '' or regexp_matches(msg, 'unexpected token|expected', 'i'))) then 'truncated_output'
  else {_cases('msg', dims.FAILURE_PATTERNS, fallback)} end mode from r""",
-        "success_modes": f"""with s as (select record_id, coalesce(tactics, []) t, coalesce(structure.named_steps, 0) k, coalesce(structure.term_mode, false) tm from results)
- select record_id, case when list_has_any(t, [{_quoted(dims.INDUCTION_TACTICS)}]) then 'induction' when list_has_any(t, [{_quoted(dims.CASE_TACTICS)}]) then 'case_analysis'
+        "success_modes": f"""with {_FIRST_PROOF}, b as (select attempt_id, {_BARE("nullif(p, chr(0))")} b from fp),
+ s as (select record_id, coalesce(tactics, []) t, coalesce(structure.named_steps, 0) k, coalesce(structure.term_mode, false) tm,
+ coalesce(len(regexp_extract_all(b, '{_re2(dims.DECLARATION)}')) - 1, 0) aux, coalesce(len(regexp_extract_all(b, '\\bcalc\\b')), 0) calc from results left join b using (attempt_id))
+ select record_id, case when aux > 0 then 'auxiliary_lemmas' when list_has_any(t, [{_quoted(dims.INDUCTION_TACTICS)}]) then 'induction' when calc > 0 then 'calc_chain' when list_has_any(t, [{_quoted(dims.CASE_TACTICS)}]) then 'case_analysis'
  when k > 0 then 'structured_with_steps' when tm then 'term_mode' when len(t) = 0 then 'unclassified'
  when len(t) = 1 then case when t[1] in ({_quoted(dims.DECISION_TACTICS)}) then 'brute_force_decide' else 'one_liner_automation' end
  when list_has_all([{_quoted(dims.DECISION_TACTICS)}], t) then 'brute_force_decide'
@@ -501,6 +552,7 @@ def _twins() -> dict[str, str]:
  v as (select case when a is null then ['kernel.audit_missing'] else list_transform(a, lambda n: case when n = 'sorryAx' then 'kernel.sorry_ax'
  when n in ({_quoted(dims.COMPILER_AXIOMS)}) then 'kernel.compiler_trust' else 'kernel.nonstandard_axiom' end) end v from a), u as (select unnest(v) rule from v)
  select rule, count(*) n from u group by rule""",
+        "screened_sources": _screened_sources(),
         "assembled_sources": f"""with j as (select record_id, coalesce(proof, '') p, assembly, {_RT("coalesce(header, '')")} h, {_RT("coalesce(formal_statement, '')")} st from attempts join tasks using (task_id)),
  k as (select *, regexp_replace(p, '^{_SPACE}+', '') led from j), l as (select *, case when st like '%:=' and led like ':=%' then substr(led, 3) else p end tail from k),
  m as (select *, case when tail like chr(10) || '%' then st || {_RT("tail")} when {_STRIP("tail")} <> '' then st || ' ' || {_STRIP("tail")} else st end joined from l),

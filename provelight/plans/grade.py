@@ -23,7 +23,7 @@ from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
 from provelight.operators.classify import error_messages, failure_mode, success_mode
 from provelight.operators.measure import add_statement, add_structure
-from provelight.operators.screen import add_interface_report, axiom_violations, label_parts
+from provelight.operators.screen import add_interface_report, add_violations, axiom_violations, label_parts
 from provelight.sources.folders import Policy, Submissions
 from provelight.sources.runs import RunFolder
 from provelight.store import keep
@@ -152,31 +152,56 @@ def interface_problems(problems: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select("problem_id", names(target["signature"]).alias("target_parameters"), statement.alias("statement"))
 
 
+def screened(answers: DataFrame, problems: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Answers with the frozen target of their problem and the faults of their text."""
+    policy = policy or Policy()
+    module = F.concat(F.lit("Bench."), F.col("problem_id"))
+    rows = answers.join(interface_problems(problems), "problem_id").withColumn("module", module)
+    return add_interface_report(rows, "source", F.col("module"), F.size("target_parameters") > 0, policy.allowed_imports, policy.allow_global_instances)
+
+
 def grade(answers: DataFrame, problems: DataFrame, verifier: Verifier, policy: Policy | None = None) -> DataFrame:
     """One graded row per answer: faults, build, audit, verdict, measures, mode.
 
     An answer with faults is refused before the verifier sees it; one whose build
     or audit is missing is not solved, but not refused for it either.
     """
-    policy = policy or Policy()
-    faces = interface_problems(problems)
-    module = F.concat(F.lit("Bench."), F.col("problem_id"))
-    rows = answers.join(faces, "problem_id").withColumn("module", module)
-    rows = add_interface_report(rows, "source", F.col("module"), F.size("target_parameters") > 0, policy.allowed_imports)
     # Both the verifier and the graded rows read the screened answers.
-    rows = keep(rows, "screened")
+    return judged(keep(screened(answers, problems, policy), "screened"), verifier, policy)
+
+
+STAGE = "array<struct<stage: string, status: string>>"
+
+
+def judged(rows: DataFrame, verifier: Verifier, policy: Policy | None = None) -> DataFrame:
+    """``screened`` answers with builds, audit, verdict, measures and mode.
+
+    A verifier may add ``stages`` (what it observed of kernel, replay and
+    dependencies) to its rows.  Where the policy requires a replay, a verified
+    build without a passed one is an error of stage ``replay``.
+    """
+    policy = policy or Policy()
     clean = rows.where(F.size("faults") == 0)
     builds = verifier(clean.select("participant", "problem_id", "source", "module"))
-    built = builds.select("participant", "problem_id", F.struct("status", "failed_stage", "axioms", "diagnostics", "compile_time_s").alias("build"))
-    rows = rows.join(built, ["participant", "problem_id"], "left")
+    if "stages" not in builds.columns:
+        builds = builds.withColumn("stages", F.array().cast(STAGE))
+    stages = F.coalesce(F.col("stages").cast(STAGE), F.array().cast(STAGE))
+    replayed = F.exists(stages, lambda e: (e["stage"] == "replay") & (e["status"] == "passed"))
+    unmet = F.lit(policy.require_replay) & (F.col("status") == "verified") & ~replayed
+    build = F.struct(
+        F.when(unmet, "error").otherwise(F.col("status")).alias("status"), F.when(unmet, "replay").otherwise(F.col("failed_stage")).alias("failed_stage"),
+        "axioms", "diagnostics", "compile_time_s", stages.alias("stages"),
+    )
+    # Only the build meets the answers' keys; sources stay on their side of the join.
+    rows = rows.join(builds.select("participant", "problem_id", build.alias("build")), ["participant", "problem_id"], "left")
     passed = F.col("build.status") == "verified"
     audit = F.when(passed, axiom_violations(F.col("build.axioms"), policy.allowed_axioms))
     rows = rows.withColumn("audit", audit).withColumn("audit_ok", F.when(passed & F.col("build.axioms").isNotNull(), F.size("audit") == 0))
-    none = F.array().cast("array<struct<stage: string, status: string>>")
+    seen = F.coalesce("build.stages", F.array().cast(STAGE))
     rows = (
         rows.withColumn("solved", V.solved(F.col("faults"), F.col("build.status"), F.col("audit_ok")))
-        .withColumn("refused_at", V.refused_at(F.col("faults"), none, F.col("build.status"), F.col("build.failed_stage"), F.col("audit_ok")))
-        .withColumn("kernel", V.kernel_status(none, F.col("build.status")))
+        .withColumn("refused_at", V.refused_at(F.col("faults"), seen, F.col("build.status"), F.col("build.failed_stage"), F.col("audit_ok")))
+        .withColumn("kernel", V.kernel_status(seen, F.col("build.status")))
     )
     first = F.get(F.filter("build.diagnostics", lambda d: F.coalesce(d["message"], F.lit("")) != ""), F.lit(0))["message"]
     reason = (
@@ -207,6 +232,51 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.withColumn("failure_mode", mode).withColumn("success_mode", F.when(F.col("solved"), success)).drop("statement", "_messages")
 
 
+def interface_events(rows: DataFrame) -> DataFrame:
+    """The event of the text check of each screened answer."""
+    fine = F.size("faults") == 0
+    detail = F.coalesce(F.get("faults", F.lit(0))["fault"], F.lit(""))
+    return rows.select(
+        "participant", "problem_id", F.lit("interface").alias("stage"), F.when(fine, "passed").otherwise("failed").alias("status"),
+        detail.alias("detail"), F.current_timestamp().alias("recorded_at"), F.lit(0).cast("bigint").alias("ordinal"),
+    )
+
+
+def build_events(graded: DataFrame) -> DataFrame:
+    """The events behind the text check, four of each graded answer: kernel, replay, dependencies, axioms."""
+    refused = F.size("faults") > 0
+    seen = lambda stage: F.element_at(F.filter(F.coalesce("build.stages", F.array().cast(STAGE)), lambda e: (e["stage"] == stage) & (e["status"] != "running")), -1)["status"]
+    has = lambda stage: F.exists(F.coalesce("build.stages", F.array().cast(STAGE)), lambda e: (e["stage"] == stage) & (e["status"] != "running"))
+    observed = lambda stage: F.when(has(stage), seen(stage)).otherwise("not_run")
+    audit = F.when(F.col("audit").isNull(), "not_run").when(F.size("audit") == 0, "passed").otherwise("failed")
+    statuses = [("kernel", F.col("kernel")), ("replay", observed("replay")), ("dependencies", observed("dependencies")), ("axioms", audit)]
+    event = lambda k, stage, status: F.struct(
+        F.lit(stage).alias("stage"), F.when(refused, "not_run").otherwise(status).alias("status"),
+        F.when(refused, "interface refused").otherwise("").alias("detail"), F.lit(k).cast("bigint").alias("ordinal"),
+    )
+    each = F.explode(F.array(*[event(k, *s) for k, s in enumerate(statuses, 1)]))
+    events = graded.select("participant", "problem_id", each.alias("e"))
+    return events.select("participant", "problem_id", "e.stage", "e.status", "e.detail", F.current_timestamp().alias("recorded_at"), "e.ordinal")
+
+
+def problem_health(tasks: DataFrame, probed: DataFrame) -> DataFrame:
+    """(task_id, checks, state) of statements from their screening and recorded probes (task_id, probe, status).
+
+    A statement nobody probed has its text checked only.  ``tasks`` has task_id,
+    formal_statement, header, language and may have gold_formal_statement.
+    """
+    text = F.concat_ws("\n", "header", "formal_statement")
+    gold = F.col("gold_formal_statement").isNotNull() if "gold_formal_statement" in tasks.columns else F.lit(False)
+    rows = add_violations(tasks.select("task_id", "language", text.alias("source"), gold.alias("has_gold")), "source", F.col("language"), None, dims.STATEMENT_CLASSES, subject="problem")
+    # Of a probe that ran twice the last status in order of its name counts; a probe has one row as a rule.
+    said = probed.groupBy("task_id", "probe").agg(F.max("status").alias("status")).groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("probe", "status"))).alias("probes"))
+    both = rows.join(said, "task_id", "left")
+    probes = F.coalesce("probes", F.create_map().cast("map<string,string>"))
+    done = both.select("task_id", V.probe_checks(F.col("violations"), probes, F.col("has_gold")).alias("checks"))
+    # A cheap proof is an observation about difficulty, no defect.
+    return done.withColumn("state", V.health(F.filter("checks", lambda c: c["kind"] != "non_trivial")))
+
+
 @dataclass
 class Report:
     """The aggregates of a run, all of the size of participants, problems or reasons."""
@@ -227,9 +297,9 @@ def report(graded: DataFrame, problems: DataFrame, participants: list[str]) -> R
         F.coalesce(F.sum("build.compile_time_s"), F.lit(0.0)).alias("compile_time_s"),
         *[F.count_if(F.col("refused_at") == s).alias(f"refused_at_{s}") for s in dims.STAGES[1:6]],
     ).select(F.lit(n_problems).alias("problems"), F.lit(len(participants)).alias("participants"), "*")
-    board = A.leaderboard(graded, "participant", "problem_id", F.col("solved"), n_problems)
+    board = A.leaderboard(graded, "participant", "problem_id", F.col("solved"), n_problems, ~F.col("solved") & ~V.fault_kinds(F.col("faults"))[1])
     everyone = graded.sparkSession.createDataFrame([(p,) for p in participants], "participant string")
-    idle = everyone.join(board, "participant", "left_anti").select(F.lit(None).cast("int").alias("rank"), "participant", F.lit(0).cast("bigint").alias("solved"), F.lit(0).cast("bigint").alias("attempted"), F.lit(0).cast("bigint").alias("rejected"), F.lit(n_problems).cast("bigint").alias("not_attempted"))
+    idle = everyone.join(board, "participant", "left_anti").select(F.lit(None).cast("int").alias("rank"), "participant", F.lit(0).cast("bigint").alias("solved"), F.lit(0).cast("bigint").alias("attempted"), F.lit(0).cast("bigint").alias("rejected"), F.lit(n_problems).cast("bigint").alias("not_attempted"), F.lit(0).cast("bigint").alias("flagged"))
     refused = graded.withColumn("refusal", F.when(F.col("refused_at").isNotNull(), F.col("reason")))
     found = F.concat(F.transform(F.filter("faults", lambda f: f["fault"] == "reward_hacking"), lambda f: f["detail"]), F.coalesce("audit", F.array().cast("array<string>")))
     return Report(
@@ -242,13 +312,22 @@ def report(graded: DataFrame, problems: DataFrame, participants: list[str]) -> R
 
 
 def run(base: str, problems: DataFrame, submissions: Submissions, verifier: Verifier, policy: Policy | None = None, run_id: str | None = None) -> tuple[RunFolder, Report]:
-    """Grade into a run folder; an error leaves the state ``failed``."""
+    """Grade into a run folder, stage by stage; an error leaves the state ``failed`` and the stages done so far.
+
+    Each stage is a table and its events are appended when it is there, so a run
+    that stops shows which answers got how far.
+    """
     folder = RunFolder(base, run_id)
+    spark = problems.sparkSession
     try:
         folder.write_problems(problems)
         folder.write_inputs(submissions.answers)
-        folder.write_graded(grade(submissions.answers, problems, verifier, policy))
-        graded = problems.sparkSession.read.parquet(str(folder.root / "graded"))
+        folder.write_screened(screened(submissions.answers, problems, policy))
+        rows = folder.screened(spark)
+        folder.append_events(interface_events(rows))
+        folder.write_graded(judged(rows, verifier, policy))
+        graded = folder.graded(spark)
+        folder.append_events(build_events(graded))
         made = report(graded, problems, submissions.participants)
         for name in ("summary", "leaderboard", "by_problem", "reasons", "hacks"):
             folder.write_report(name.replace("_", "-"), getattr(made, name))

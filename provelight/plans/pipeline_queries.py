@@ -11,6 +11,7 @@ from provelight.operators import aggregate as A
 from provelight.operators import verdict as V
 from provelight.operators.measure import STATEMENT_FIELDS, STRUCTURE_FIELDS
 from provelight.plans import grade as G
+from provelight.plans.analysis_queries import statement_health_sql
 from provelight.sources.folders import Policy
 from provelight.store import shared_dir, spread
 from provelight.streaming import stage_log as T
@@ -76,6 +77,22 @@ def graded_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir).groupBy("refused_at", "failure_mode", "success_mode").agg(F.count("*").alias("n"))
 
 
+def graded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last events of the graded answers, by stage and status."""
+    rows = graded(spark, sf_dir)
+    events = G.interface_events(rows).unionByName(G.build_events(rows))
+    last = V.latest_stages(events, ["participant", "problem_id"], "stage", ["recorded_at", "ordinal"])
+    return last.groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+def statement_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of the statements with the recorded status of their verdicts as elaboration probe."""
+    tasks = _read(spark, sf_dir, "tasks").select("task_id", "formal_statement", "header", "language")
+    said = F.when(F.col("status") == "ok", "verified").when(F.col("status") == "unfaithful", "failed").otherwise("skipped")
+    probed = _read(spark, sf_dir, "verdicts").select("task_id", F.lit("elaborates").alias("probe"), said.alias("status"))
+    return G.problem_health(tasks, probed).groupBy("state").agg(F.count("*").alias("n"))
+
+
 def graded_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of the measures of graded answers by outcome."""
     rows = graded(spark, sf_dir)
@@ -85,7 +102,7 @@ def graded_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (latest_events, hourly_events, streamed_events, graded_outcomes, graded_structure)
+    names = (latest_events, hourly_events, streamed_events, graded_outcomes, graded_events, statement_health, graded_structure)
     return {f.__name__: f for f in names}
 
 
@@ -94,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "latest_events": """select user_id, event_type, event_id, "value" from events
             qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1""",
+        "statement_health": statement_health_sql(),
         "hourly_events": hourly,
         "streamed_events": hourly,
     }

@@ -105,14 +105,18 @@ def problem_metadata(problems: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Policy:
-    """What answers may import and depend on."""
+    """What answers may import, declare and depend on."""
 
     allowed_imports: tuple[str, ...] = ("Mathlib",)
     allowed_axioms: tuple[str, ...] = dims.ALLOWED_AXIOMS
-    allow_global_instances: bool = False
+    allow_global_instances: bool = True
     isolate_builds: bool = True
     require_replay: bool = False
 
+    def __post_init__(self) -> None:
+        if not self.isolate_builds:
+            raise ValueError("answers are built apart from one another; isolate_builds cannot be off")
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -170,6 +174,27 @@ def environment_mismatches(declared: Manifest, observed: dict[str, str]) -> list
     return out
 
 
+def observed_environment(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what a run is made with: pins of the project folder, versions of Python and Spark, platform."""
+    import platform
+
+    pins = project_versions(folder)
+    facts = {
+        "lean": pins.get("lean"),
+        "mathlib_rev": pins.get("mathlib_rev"),
+        "lake_manifest_sha256": pins.get("lake_manifest_sha256"),
+        "python": platform.python_version(),
+        "spark": spark.version,
+        "platform": platform.platform(),
+    }
+    return spark.createDataFrame([tuple(facts.values())], ", ".join(f"{name} string" for name in facts))
+
+
+def reconcile(declared: Manifest, observed: dict[str, str]) -> dict[str, str]:
+    """The pins a run goes by: declared ones first, observed ones where nothing is declared; never an error."""
+    return {k: v for k, v in {**observed, **{n: w for n, w in (("lean", declared.lean), ("mathlib_rev", declared.mathlib_rev)) if w}}.items() if v}
+
+
 def project_versions(folder: str) -> dict[str, str]:
     """Toolchain and dependency pins of a Lake project folder; what is not there is left out."""
     import hashlib

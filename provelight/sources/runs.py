@@ -38,6 +38,7 @@ class ArtifactSink(Protocol):
     """What a run is written to."""
 
     def write_inputs(self, answers: DataFrame) -> None: ...
+    def write_screened(self, rows: DataFrame) -> None: ...
     def append_events(self, events: DataFrame) -> None: ...
     def write_graded(self, graded: DataFrame) -> None: ...
     def write_report(self, name: str, report: DataFrame) -> None: ...
@@ -78,6 +79,15 @@ class RunFolder:
     def append_events(self, events: DataFrame) -> None:
         events.write.mode("append").parquet(self._at("events"))
 
+    def write_screened(self, rows: DataFrame) -> None:
+        rows.write.parquet(self._at("screened"))
+
+    def screened(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self._at("screened"))
+
+    def graded(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self._at("graded"))
+
     def write_graded(self, graded: DataFrame) -> None:
         graded.write.parquet(self._at("graded"))
 

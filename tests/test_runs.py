@@ -97,6 +97,54 @@ def test_grading(spark, bench):
     assert "more" in W.text_table(made.leaderboard, 3)
 
 
+def test_run_events_and_a_run_that_stops(spark, bench):
+    problems = D.read_problems(spark, str(bench / "b"))
+    subs = D.read_submissions(spark, str(bench / "s"), problems)
+    folder, _ = G.run(str(bench / "runs"), problems, subs, G.create("mock"), D.read_manifest(str(bench / "b")).policy, "events")
+    last = {(r["participant"], r["stage"]): r["status"] for r in folder.snapshot(spark).collect()}
+    assert len(last) == 5 * len(ANSWERS) and folder.unfinished(spark).isEmpty()
+    assert [last["good", s] for s in ("interface", "kernel", "replay", "axioms")] == ["passed", "passed", "not_run", "failed"] or last["good", "axioms"] == "passed"
+    assert last["axiom", "interface"] == "failed" and last["axiom", "kernel"] == "not_run" and last["fails", "kernel"] == "failed"
+
+    def stops(answers):
+        raise RuntimeError("the prover is gone")
+
+    with pytest.raises(RuntimeError):
+        G.run(str(bench / "runs"), problems, subs, stops, None, "stopped")
+    left = W.RunFolder.__new__(W.RunFolder)
+    left.root = bench / "runs" / "stopped"
+    assert left.state()["state"] == "failed" and {r["stage"] for r in left.events(spark).collect()} == {"interface"}
+
+
+def test_policy_of_instances_and_replay(spark, bench):
+    problems = D.read_problems(spark, str(bench / "b"))
+    source = GOOD.replace("theorem helper", "instance : Inhabited Nat := ⟨0⟩\ntheorem helper")
+    answers = spark.createDataFrame([("a", "p1", source), ("b", "p1", GOOD)], "participant string, problem_id string, source string")
+    faults = lambda p: {r["participant"]: [f["fault"] for f in r["faults"]] for r in G.screened(answers, problems, p).collect()}
+    assert faults(D.Policy()) == {"a": [], "b": []}
+    assert faults(D.Policy(allow_global_instances=False)) == {"a": ["instance_not_allowed"], "b": []}
+    with pytest.raises(ValueError):
+        D.Policy(isolate_builds=False)
+    builds = spark.createDataFrame(
+        [("a", "p1", "verified", None, ["propext"], None, 1.0, [("kernel", "passed"), ("replay", "passed")]), ("b", "p1", "verified", None, ["propext"], None, 1.0, None)],
+        G.BUILD + f", stages {G.STAGE}",
+    )
+    rows = {r["participant"]: r for r in G.grade(answers, problems, G.create("replay", builds=builds), D.Policy(require_replay=True)).collect()}
+    assert rows["a"]["solved"] and not rows["b"]["solved"] and rows["b"]["refused_at"] == "replay"
+
+
+def test_health_of_problems(spark):
+    rows = [("clean", "theorem t : p", "lean4", "g"), ("broken", "theorem t : q", "lean4", None), ("easy", "theorem t : r", "lean4", None), ("vacuous", "theorem t (h : x) : r", "lean4", None), ("assumes", "axiom a : False", "lean4", None), ("unasked", "theorem t : s", "lean4", None), ("failed", "theorem t : u", "lean4", None)]
+    tasks = spark.createDataFrame(rows, "task_id string, formal_statement string, language string, gold_formal_statement string").withColumn("header", F.lit(""))
+    probes = [("clean", "elaborates", "verified"), ("clean", "gold_equivalent", "verified"), ("clean", "trivial", "failed"), ("broken", "elaborates", "failed"), ("broken", "vacuous", "verified"), ("easy", "elaborates", "verified"), ("easy", "trivial", "verified"), ("vacuous", "elaborates", "verified"), ("vacuous", "vacuous", "verified"), ("failed", "elaborates", "error")]
+    got = {r["task_id"]: r for r in G.problem_health(tasks, spark.createDataFrame(probes, "task_id string, probe string, status string")).collect()}
+    state = {k: r["state"] for k, r in got.items()}
+    assert state == {"clean": "clean", "broken": "ungradeable", "easy": "clean", "vacuous": "ungradeable", "assumes": "ungradeable", "unasked": "clean", "failed": "clean"}
+    checks = {c["kind"]: c["passed"] for c in got["clean"]["checks"]}
+    assert checks == {"assumes_nothing": True, "elaborates": True, "non_trivial": None, "non_vacuous": None, "gold_equivalent": True}
+    assert {c["kind"]: c["passed"] for c in got["broken"]["checks"]} == {"assumes_nothing": True, "elaborates": False, "non_trivial": None, "non_vacuous": None}
+
+
 def test_replayed_builds(spark, bench):
     problems = D.read_problems(spark, str(bench / "b"))
     answers = D.read_submissions(spark, str(bench / "s"), problems).answers
@@ -127,7 +175,9 @@ def test_command_line(spark, bench, capsys):
     base = [str(bench / "b"), str(bench / "s"), "--out", str(bench / "out")]
     assert cli.main(["grade", *base, "--strict", "--option", "pass_rate=0.5"]) == 5
     assert cli.main(["audit", str(bench / "b")]) == 0 and "Problem.Target" in capsys.readouterr().out
-    assert cli.main(["verifiers"]) == 0
+    assert cli.main(["verifiers"]) == 0 and cli.main(["judges"]) == 0
+    assert cli.main(["health", str(bench / "b"), "--strict"]) == 0 and "clean" in capsys.readouterr().out
+    assert cli.main(["doctor", str(bench / "b")]) == 5 and "declared v4" in capsys.readouterr().out
     assert cli.main(["grade", *base, "--verifier", "none"]) == 2
     assert cli.main(["audit", str(bench / "nowhere")]) == 2
 
