@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters of one block of texts that are worked on together.
-BLOCK = 250_000
+BLOCK = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))

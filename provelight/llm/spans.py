@@ -84,28 +84,28 @@ def symbols(codes: np.ndarray, breaks: np.ndarray, rounds: list[tuple[str, int]]
         n = len(name)
         if n < 2:
             break
-        size = np.diff(np.append(start, len(codes)))
+        size = np.diff(start, append=len(codes))
         salt = mix(np.array([number + 1], np.uint64) * ODD[0])
         if kind == "run":
-            new = np.empty(n, bool)
-            new[0] = True
-            new[1:] = (name[1:] != name[:-1]) | first[1:]
-            at = np.flatnonzero(new)
-            count = np.diff(np.append(at, n))
-            total = size[at] * count  # equal symbols have equal lengths
-            join = (count > 1) & (total <= cap)
-            stay = new | ~np.repeat(join, count)
-            renamed = name.copy()
-            renamed[at[join]] = mix(name[at[join]] * ODD[1] + count[join].astype(np.uint64) * ODD[0] + salt)
+            # Symbols equal to their left neighbour, few as a rule, in groups that follow one another.
+            same = np.flatnonzero((name[1:] == name[:-1]) & ~first[1:]) + 1
+            if not len(same):
+                continue
+            head = np.flatnonzero(np.diff(same, prepend=same[0] - 2) != 1)
+            left, count = same[head] - 1, np.diff(head, append=len(same)) + 1
+            join = size[left] * count <= cap  # equal symbols have equal lengths
+            gone = same[np.repeat(join, count - 1)]
+            left, count = left[join], count[join]
+            name[left] = mix(name[left] * ODD[1] + count.astype(np.uint64) * ODD[0] + salt)
         else:
-            side = (mix(name ^ salt) >> np.uint64(63)).astype(bool)
-            pair = ~side[:-1] & side[1:] & ~first[1:] & (size[:-1] + size[1:] <= cap)
-            stay = np.ones(n, bool)
-            stay[1:] = ~pair
-            renamed = name.copy()
-            left = np.flatnonzero(pair)
-            renamed[left] = mix(mix(name[left] * ODD[0] + salt) + name[left + 1] * ODD[1])
-        start, name, first = start[stay], renamed[stay], first[stay]
+            # Names are hashes, so one product mixes them enough to tell the halves of the alphabet apart.
+            side = ((name ^ salt) * ODD[0] >> np.uint64(63)).astype(bool)
+            left = np.flatnonzero(~side[:-1] & side[1:] & ~first[1:] & (size[:-1] + size[1:] <= cap))
+            gone = left + 1
+            name[left] = mix(mix(name[left] * ODD[0] + salt) + name[gone] * ODD[1])
+        stay = np.ones(n, bool)
+        stay[gone] = False
+        start, name, first = start[stay], name[stay], first[stay]
     return start, name
 
 
