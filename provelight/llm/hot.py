@@ -26,6 +26,14 @@ PER_TASK, MOST_HOT = 250_000, 500_000
 STRETCHES = 1_024
 
 
+def _free(names: list[str], *tables: DataFrame) -> list[str]:
+    """``names``, made longer where a column of the tables is called so."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while taken & set(names):
+        names = ["_" + n for n in names]
+    return names
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, per_task: int = PER_TASK) -> DataFrame:
     """Inner join of ``left`` with ``right`` (one row per key, ``count`` left rows each).
 
@@ -37,16 +45,17 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total
     if total <= per_task:  # no key can be hot
         return left.join(right.drop(count), on)
     bound = max(per_task, -(-total // MOST_HOT))
+    h, s, salt = _free(["_h", "_s", "_salt"], left, right)
     # By hash on both sides: should a cold key share the hash of a hot one, both its sides are salted alike.
-    salts = right.where(F.col(count) > bound).groupBy(F.xxhash64(*on).alias("_h")).agg(F.max(F.ceil(F.col(count) / bound)).cast("int").alias("_s"))
+    salts = right.where(F.col(count) > bound).groupBy(F.xxhash64(*on).alias(h)).agg(F.max(F.ceil(F.col(count) / bound)).cast("int").alias(s))
     salts = F.broadcast(keep(salts, "hot"))
-    pieces = F.coalesce("_s", F.lit(1))
-    one = right.drop(count).withColumn("_h", F.xxhash64(*on)).join(salts, "_h", "left")
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_h", "_s")
+    pieces = F.coalesce(s, F.lit(1))
+    one = right.drop(count).withColumn(h, F.xxhash64(*on)).join(salts, h, "left")
+    one = one.withColumn(salt, F.explode(F.sequence(F.lit(0), pieces - 1))).drop(h, s)
     others = [c for c in left.columns if c not in on]  # no draw: a task that is run again salts alike
-    many = left.withColumn("_h", F.xxhash64(*on)).join(salts, "_h", "left")
-    drawn = F.when(F.col("_s").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(7), *others), pieces)).cast("int")
-    return many.withColumn("_salt", drawn).drop("_h", "_s").join(one, [*on, "_salt"]).drop("_salt")
+    many = left.withColumn(h, F.xxhash64(*on)).join(salts, h, "left")
+    drawn = F.when(F.col(s).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(7), *others), pieces)).cast("int")
+    return many.withColumn(salt, drawn).drop(h, s).join(one, [*on, salt]).drop(salt)
 
 
 def _place(key: list[str]) -> tuple[Column, Column]:

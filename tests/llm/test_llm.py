@@ -76,6 +76,19 @@ def test_dress_copies_equal_brute_force(spark, bits):
     assert dress_copies(df.limit(0), "record_id", "proof", ["task_id", "model"], ["metadata"]).count() == 0
 
 
+def test_dress_copies_of_more_members_than_one_task_joins(spark, monkeypatch):
+    from functools import partial
+
+    from provelight.llm import dedup
+
+    rows = [(i, f"by x{i % 20 if i % 2 else 1}", "t", None, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, proof string, task string, model string, meta map<string,string>")
+    monkeypatch.setattr(dedup, "hot_join", partial(hot_join, per_task=20))
+    monkeypatch.setattr(dedup, "PER_SALT", 30)
+    found = [tuple(r) for r in dress_copies(df, "id", "proof", ["task", "model"], ["meta"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == copies(rows)
+
+
 # --- cut texts ---------------------------------------------------------------------------
 def proofs(n, seed=1):
     rng = random.Random(seed)
@@ -367,6 +380,16 @@ def test_hot_keys_are_split(spark):
     assert sum(sizes) == 30_300 and max(sizes) < 0.5 * 30_000
 
 
+def test_hot_join_of_columns_with_names_of_its_own(spark):
+    left = spark.range(300).selectExpr("id % 3 as k", "id as _h", "id + 1 as _SALT")
+    right = spark.createDataFrame([(k, k + 10, 100) for k in range(3)], "k bigint, _s bigint, n bigint")
+    want = sorted(map(tuple, left.join(right.drop("n"), ["k"]).collect()))
+    for per_task in (10, 1000):
+        met = hot_join(left, right, ["k"], "n", 300, per_task)
+        assert met.columns == ["k", "_h", "_SALT", "_s"]
+        assert sorted(map(tuple, met.collect())) == want
+
+
 def test_asked_for_loses_nothing(spark):
     rows = spark.range(20_000).select((F.col("id") % 997).alias("k"), F.concat(F.lit("t"), "id").alias("text"))
     keys = spark.createDataFrame([(i,) for i in [0, 5, 5, 700, -1, None]], "k bigint")
